@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import added, utf8
 
 #: The pretokenizer pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 
 
 def _mapped(docs: DataFrame, text: str, out: str, work, path: str | None) -> DataFrame:
-    schema = docs.schema.add(out, "binary")
+    schema = added(docs, f"`{out}` binary")
 
     def run(batches):
         vocab = vocabulary(path or default_path())
@@ -212,7 +212,7 @@ def _mapped(docs: DataFrame, text: str, out: str, work, path: str | None) -> Dat
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """docs with the text that its ids decode to (null ids: empty text)."""
-    schema = docs.drop(text).schema.add(text, "string")
+    schema = added(docs.drop(text), f"`{text}` string")
 
     def run(batches):
         vocab = vocabulary(path or default_path())

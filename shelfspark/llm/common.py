@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Newline-free ASCII white space plus line breaks, as the contracts state it.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -42,9 +43,9 @@ def utf8(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def input_partitions(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Deal rows out over more tasks than the scan has, when it has too few."""
-    return docs.repartition(parts) if parts else docs
+def added(df: DataFrame, ddl: str) -> StructType:
+    """df's schema with more fields, given as in DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ under TAU edits, so:
 2. Every line indexes its own segments under (segment, its length, the segment's characters)
    and probes, for every length it can match, the substrings at those positions that the
    multi-match-aware bound allows (for TAU = 2: 3 index rows and 12 probes).
-3. Colliding pairs are joined on that key, taken once, thinned by a bound on the words they
-   don't share, and verified by a banded bit-parallel automaton: one bit for each diagonal
+3. Lines meet on that key under a condition that every pair within TAU edits satisfies: an
+   edit changes the parity of at most two letter counts, so at most 2 TAU parities differ.
+   The pairs are taken once, sieved by Spark's own thresholded distance and verified by a banded bit-parallel automaton: one bit for each diagonal
    of the band and one word for each number of errors, so a step costs a few integer
    operations whatever TAU is.
 4. Components of the links are the classes; the first line (smallest document id, then line
@@ -20,6 +21,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,18 @@ def _key(i: int, n: Column, start: Column, size: Column) -> Column:
     return F.xxhash64(F.lit(i), n.cast("int"), F.col("line").substr(start, size))
 
 
+def _parities(line: str) -> Column:
+    """One bit for each Latin letter: whether the line has an odd number of it."""
+    n, out = F.length(line), F.lit(0)
+    for i, letter in enumerate("abcdefghijklmnopqrstuvwxyz"):
+        odd = (n - F.length(F.replace(F.col(line), F.lit(letter), F.lit("")))) % 2
+        out = out.bitwiseOR(F.shiftleft(odd, i))
+    return out
+
+
 def _index(rows: DataFrame, tau: int) -> DataFrame:
     keys = [_key(i, F.col("n"), *_segment(F.col("n"), i, tau)) for i in range(tau + 1)]
-    return rows.select("lid", "n", F.explode(F.array(*keys)).alias("key"))
+    return rows.select("lid", "n", "odd", F.explode(F.array(*keys)).alias("key"))
 
 
 def _probes(rows: DataFrame, tau: int) -> DataFrame:
@@ -59,22 +71,25 @@ def _probes(rows: DataFrame, tau: int) -> DataFrame:
                 at = start + move
                 inside = (at >= 1) & (at + size - 1 <= F.col("n")) & (n > tau)
                 keys.append(F.when(inside, F.struct(_key(i, n, at, size).alias("key"), n.cast("int").alias("of"))))
-    return rows.select("lid", "n", F.explode(F.array(*keys)).alias("x")).filter("x is not null").select("lid", "n", "x.key", "x.of")
+    return rows.select("lid", "n", "odd", F.explode(F.array_compact(F.array(*keys))).alias("x")).select("lid", "n", "odd", "x.key", "x.of")
 
 
 def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
     """The edit distance of two string columns if it is at most tau, else null: a banded
     bit-parallel automaton over the 2 tau + 1 diagonals."""
     band = (1 << (2 * tau + 1)) - 1
-    left, right = F.split(a, ""), F.split(b, "")
     names = [f"r{e}" for e in range(tau + 1)]
     start = F.struct(*[F.lit((((1 << (e + 1)) - 1) << tau) & band).alias(names[e]) for e in range(tau + 1)])
-    text = F.transform(right, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
 
-    def step(state: Column, x: Column) -> Column:
-        match = F.lit(0)
-        for d in range(2 * tau + 1):
-            match = match.bitwiseOR(F.when(F.get(left, x["j"] + (d - tau)) == x["c"], 1 << d).otherwise(0))
+    def matches(chars: Column) -> Column:
+        """Of each character of b: which diagonals have the same character in a."""
+        def one(c: Column, j: Column) -> Column:
+            bits = [F.when(F.get(chars, j + (d - tau)) == c, 1 << d).otherwise(0) for d in range(2 * tau + 1)]
+            return reduce(Column.__add__, bits)
+
+        return F.transform(F.filter(F.split(b, ""), lambda c: c != ""), one)
+
+    def step(state: Column, match: Column) -> Column:
         new = [state[names[0]].bitwiseAND(match)]
         for e in range(1, tau + 1):
             old = state[names[e - 1]]
@@ -87,19 +102,21 @@ def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
         hits = [F.when(F.getbit(state[names[e]], at) == 1, e) for e in range(tau + 1)]
         return F.when(at.between(0, 2 * tau), F.coalesce(*hits))
 
-    return F.aggregate(text, start, step, end)
+    # a one-element array binds the characters of a, so that they are split once
+    return F.get(F.transform(F.array(F.split(a, "")), lambda chars: F.aggregate(matches(chars), start, step, end)), F.lit(0))
 
 
 def candidates(rows: DataFrame, tau: int = TAU) -> DataFrame:
-    """Distinct pairs (a, b) of line numbers that share a segment; rows: (lid, line, n)."""
-    index = _index(rows, tau).select(F.col("lid").alias("a"), F.col("n").alias("of"), "key")
-    probes = _probes(rows, tau).select(F.col("lid").alias("b"), "n", "key", "of")
-    same = index.join(probes, ["key", "of"]).filter((F.col("of") < F.col("n")) | (F.col("a") < F.col("b")))
-    return same.select("a", "b").distinct()
+    """Distinct pairs (a, b) of line numbers that share a segment; rows: (lid, line, n, odd)."""
+    index = _index(rows, tau).select(F.col("lid").alias("a"), F.col("n").alias("m"), F.col("odd").alias("odd_a"), F.col("key").alias("key_a"))
+    probes = _probes(rows, tau).select(F.col("lid").alias("b"), "n", "odd", "key", "of")
+    meet = (F.col("key_a") == F.col("key")) & (F.col("m") == F.col("of")) & ((F.col("m") < F.col("n")) | (F.col("a") < F.col("b")))
+    near = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd"))) <= 2 * tau
+    return index.join(probes, meet & near).select("a", "b").distinct()
 
 
 def links(rows: DataFrame, tau: int = TAU, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Verified pairs (a, b) of distinct lines; rows: (lid, line, n), each line once."""
+    """Verified pairs (a, b) of distinct lines; rows: (lid, line, n, odd), each line once."""
     pairs = materialise(candidates(rows, tau))
     need = materialise(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
     if need.count() <= broadcast_rows:
@@ -107,9 +124,9 @@ def links(rows: DataFrame, tau: int = TAU, broadcast_rows: int = BROADCAST_ROWS)
     texts = rows.join(need, "lid", "left_semi").select("lid", "line")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    wx, wy = F.split("x", " "), F.split("y", " ")
-    near = F.size(F.array_except(wx, wy)) + F.size(F.array_except(wy, wx)) <= 3 * tau
-    found = both.filter(near).withColumn("d", edit_distance("x", "y", tau))
+    # Spark's compiled thresholded distance sieves the false pairs; the automaton, which runs
+    # interpreted, verifies what is left
+    found = both.filter(F.levenshtein("x", "y", tau) >= 0).withColumn("d", edit_distance("x", "y", tau))
     return found.filter(LEAST * F.col("d") <= F.greatest(F.length("x"), F.length("y"))).select("a", "b")
 
 
@@ -129,7 +146,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: in
     lines = _lines(docs, id_col, text)
     digest = F.unhex(F.md5(F.col("line").cast("binary")))
     distinct = materialise(lines.select("line").distinct().filter(F.length("line") >= LEAST).select(
-        F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n")))
+        F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n"), _parities("line").alias("odd")))
     found = materialise(links(distinct, tau))
     roots = components(found)
     # class names of linked lines: the digest of one of their lines

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import added, utf8
 
 #: Fixed values of the transport stream format.
 PACKET = 188
@@ -228,7 +228,7 @@ def padded(text: bytes) -> bytes:
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column `media`: the text's padded bytes as a transport stream.
     Null text: empty.  Other columns pass through."""
-    schema = docs.drop(media).schema.add(media, "binary")
+    schema = added(docs.drop(media), f"`{media}` binary")
 
     def run(batches):
         for batch in batches:
@@ -244,9 +244,7 @@ def read(streams: DataFrame, media: str = "media") -> DataFrame:
     """streams with what its transport streams hold: payload, packets, errors, pts (array of
     ticks), random_access (array of packet numbers) and problem (null, or why it can't be
     read, with the others null)."""
-    schema = streams.schema
-    for name, kind in (("payload", "binary"), ("packets", "long"), ("errors", "long"), ("pts", "array<long>"), ("random_access", "array<long>"), ("problem", "string")):
-        schema = schema.add(name, kind)
+    schema = added(streams, "payload binary, packets long, errors long, pts array<long>, random_access array<long>, problem string")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import added, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("url", "ssn", "iban", "account", "secret")
@@ -222,7 +222,7 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id and spans, an array of (kind, start, end), base kinds first.
     Null text: empty.  Null and repeated ids stay."""
-    schema = docs.select(id_col).schema.add("spans", "array<struct<kind:string,start:int,end:int>>")
+    schema = added(docs.select(id_col), "spans array<struct<kind:string,start:int,`end`:int>>")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -269,5 +269,9 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

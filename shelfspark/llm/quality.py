@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import added, utf8
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
@@ -144,7 +144,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, id_col: str = "d
             got = [sorted({bucket(t, buckets) for t in tokens(v.as_buffer().to_pybytes())}) for v in batch.column("__llm_text")]
             yield pa.RecordBatch.from_arrays([batch.column("__llm_id"), batch.column("__llm_grade"), pa.array(got, pa.list_(pa.int32()))], names=["id", "grade", "buckets"])
 
-    schema = rated.select(F.col("__llm_id").alias("id")).schema.add("grade", "int").add("buckets", "array<int>")
+    schema = added(rated.select(F.col("__llm_id").alias("id")), "grade int, buckets array<int>")
     # repeated document rows of an id: one of them, so that the bound holds
     table = rated.select("__llm_id", "__llm_grade", "__llm_text").mapInArrow(rows_of, schema).groupBy("id").agg(
         F.min_by("grade", F.size("buckets")).alias("grade"), F.min("buckets").alias("buckets")).toArrow().sort_by("id")
@@ -156,7 +156,7 @@ def rate(docs: DataFrame, model: Ordinal, good: int, text: str = "text") -> Data
     """docs with expected_grade and tail_probability = P(grade >= good); clashing columns of
     these names are replaced.  A null text is empty and gets the thresholds' own shares."""
     docs = docs.drop("expected_grade", "tail_probability")
-    schema = docs.schema.add("expected_grade", "double").add("tail_probability", "double")
+    schema = added(docs, "expected_grade double, tail_probability double")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def run(batches):

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpegts, pii, quality, rules, simhash, urls
+from . import bpe, lines, mixing, mpegts, passages, pii, quality, rules, simhash, urls
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -48,6 +48,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "words", "run_words", F.col("class_id").alias("class_doc_id"), "class_start", "removed")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", F.col("class_id").alias("class_doc_id"), "class_line_no", "removed")
+
+
 def op8_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +79,7 @@ def with_path(query):
 
 
 QUERIES = {f.__name__: with_path(f) for f in (
-    op1_url_filter, op2_quality_classifier, op3_mixing, op4_pii, op5_simhash, op8_mpegts, op9_bpe, op10_quality_rules)}
+    op1_url_filter, op2_quality_classifier, op3_mixing, op4_pii, op5_simhash, op6_substring_dedup, op7_line_dedup, op8_mpegts, op9_bpe, op10_quality_rules)}
 
 
 def _url_sql() -> str:
@@ -111,4 +121,20 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN hi < {urls.THRESHOL
 FROM p JOIN h3 USING (host) LEFT JOIN fit USING (host, path)"""
 
 
-ORACLES = {"op1_url_filter": _url_sql(), "op3_mixing": mixing.oracle()}
+LINE_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+kept AS (SELECT * FROM l WHERE length(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) > 0),
+d AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS i FROM (SELECT DISTINCT line FROM kept)),
+d3 AS (SELECT *, left(line, n // 3) AS s1, substr(line, n // 3 + 1, n // 3) AS s2, right(line, n // 3) AS s3 FROM d WHERE n >= {lines.LEAST}),
+near AS (SELECT a.i AS x, b.i AS y, a.line AS s, b.line AS t FROM d3 a JOIN d3 b ON b.n BETWEEN a.n AND a.n + {lines.TAU} AND a.i <> b.i
+         WHERE contains(b.line, a.s1) OR contains(b.line, a.s2) OR contains(b.line, a.s3)),
+links AS (SELECT x, y FROM (SELECT x, y, levenshtein(s, t) AS e, greatest(length(s), length(t)) AS n FROM near) WHERE e <= {lines.TAU} AND e * {lines.LEAST} <= n),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(i, j) AS (SELECT i, i FROM d WHERE i IN (SELECT x FROM sym) UNION SELECT r.i, b.y FROM reach r JOIN sym b ON b.x = r.j),
+root AS (SELECT i, min(j) AS root FROM reach GROUP BY i),
+placed AS (SELECT doc_id, line_no, coalesce(root, d.i) AS class FROM kept JOIN d USING (line) LEFT JOIN root ON root.i = d.i),
+named AS (SELECT doc_id, line_no, min((doc_id, line_no)) OVER (PARTITION BY class) AS head, count(*) OVER (PARTITION BY class) AS size FROM placed)
+SELECT doc_id, line_no::INTEGER AS line_no, head[1] AS class_doc_id, head[2]::INTEGER AS class_line_no, (doc_id, line_no) <> head AS removed
+FROM named WHERE size > 1"""
+
+ORACLES = {"op7_line_dedup": LINE_SQL, "op1_url_filter": _url_sql(), "op3_mixing": mixing.oracle()}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import added, materialise, utf8
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50  # per cent
@@ -169,7 +169,6 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
     probabilities = materialise(probabilities)
     small = probabilities.count() <= broadcast_rows
     tables = spark.sparkContext.broadcast(_arrays(probabilities)) if small else None
-    schema = docs.select(id_col).schema
     rows = docs.select(id_col, F.coalesce(F.col(lang), F.lit("")).alias("__llm_lang"), utf8(text).alias("__llm_text"))
 
     def run(batches):
@@ -192,10 +191,7 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(logs, pa.float64())], names=[
                 id_col, "__llm_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
-    out = schema.add("__llm_lang", "string")
-    for part in FEATURES.split(", "):
-        out = out.add(*part.split(" "))
-    out = out.add("log_ppl", "double")
+    out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double")
     if small:
         return rows.mapInArrow(run, out)
     # beyond the bound: trigrams of each text are joined with the model; repeated rows double

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, utf8
+from .common import added, components, materialise, utf8
 
 RADIUS = 3
 SHINGLE = 3
@@ -59,7 +59,7 @@ BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", out: str = "fp") -> DataFrame:
     """Columns `keys` and `out` (signed long) for every row; null or wordless texts get zero."""
-    schema = docs.select(*keys).schema.add(out, "long")
+    schema = added(docs.select(*keys), f"`{out}` long")
 
     def run(batches):
         for batch in batches:
