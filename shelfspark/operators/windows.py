@@ -10,12 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("product_id", "store_id")
-W = Window.partitionBy(*KEYS).orderBy("date")
-SERIES = Window.partitionBy(*KEYS)
+
+
+def by_date():
+    return Window.partitionBy(*KEYS).orderBy("date")
+
+
+def series():
+    return Window.partitionBy(*KEYS)
 
 
 def prior(n: int):
-    return W.rowsBetween(-n, -1)
+    return by_date().rowsBetween(-n, -1)
 
 
 def safe(a: Column, b: Column) -> Column:
@@ -25,7 +31,7 @@ def safe(a: Column, b: Column) -> Column:
 def lagged(c: str, n: int) -> Column:
     if n < 1:
         raise ValueError("a lag must look back")
-    return F.lag(c, n).over(W)
+    return F.lag(c, n).over(by_date())
 
 
 def rolling(c: str, n: int, how=F.avg, least: int = 1) -> Column:
@@ -34,13 +40,13 @@ def rolling(c: str, n: int, how=F.avg, least: int = 1) -> Column:
 
 
 def expanding(c: str, how=F.avg) -> Column:
-    return how(c).over(W.rowsBetween(Window.unboundedPreceding, -1))
+    return how(c).over(by_date().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def days_since(flag: str) -> Column:
     """Days since the last row whose previous row was flagged: 0 on the first day after."""
-    after = F.when(F.lag(flag, 1).over(W), F.col("date"))
-    return F.datediff("date", F.last(after, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.when(F.lag(flag, 1).over(by_date()), F.col("date"))
+    return F.datediff("date", F.last(after, ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def flags_in(flag: str, n: int) -> Column:
@@ -48,7 +54,7 @@ def flags_in(flag: str, n: int) -> Column:
 
 
 def change(c: str, n: int) -> Column:
-    past = F.lag(c, n).over(W)
+    past = F.lag(c, n).over(by_date())
     return safe(F.col(c) - past, past)
 
 
@@ -73,7 +79,7 @@ def price_features(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "discount_depth": F.greatest(safe(F.col("regular_price") - p, F.col("regular_price")), F.lit(0.0)),
         "price_change_1": change("selling_price", 1), "price_change_7": change("selling_price", 7),
-        "price_changed": ~p.eqNullSafe(F.lag("selling_price", 1).over(W)),
+        "price_changed": ~p.eqNullSafe(F.lag("selling_price", 1).over(by_date())),
         "price_vs_28": safe(p, rolling("selling_price", 28)), "historical_price": expanding("selling_price")})
 
 
@@ -97,7 +103,7 @@ def competitor_features(df: DataFrame, rivals: DataFrame) -> DataFrame:
 def inventory_features(df: DataFrame, inventory: DataFrame) -> DataFrame:
     stock = inventory.select("date", *KEYS, (F.col("opening_inventory") + F.col("received_units")).alias("available"), "closing_inventory")
     return df.join(stock, ["date", *KEYS], "left").withColumns({
-        "stockout_yesterday": F.coalesce(F.lag("stockout_flag", 1).over(W), F.lit(False)), "days_since_stockout": days_since("stockout_flag"),
+        "stockout_yesterday": F.coalesce(F.lag("stockout_flag", 1).over(by_date()), F.lit(False)), "days_since_stockout": days_since("stockout_flag"),
         "stockouts_28": flags_in("stockout_flag", 28), "stockouts_90": flags_in("stockout_flag", 90),
         "cover": safe(F.col("available"), rolling("units", 28)), "closing_lag_1": lagged("closing_inventory", 1)})
 
@@ -156,7 +162,7 @@ def date_gaps(df: DataFrame) -> DataFrame:
 
 def price_jumps(df: DataFrame, factor: float = 10.0) -> DataFrame:
     """Rows whose price is over `factor` times the previous one, or under its inverse."""
-    ratio = safe(F.col("selling_price"), F.lag("selling_price", 1).over(W))
+    ratio = safe(F.col("selling_price"), F.lag("selling_price", 1).over(by_date()))
     return df.withColumn("price_jump", ratio).filter((F.col("price_jump") > factor) | (F.col("price_jump") < 1 / factor))
 
 

@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 
 #: Halves round up, and so do values that summation order leaves a hair under one.
-HALF = 0.500001
+HALF = 0.5001
 DATES = {"date", "start_date", "end_date", "last", "week", "month_start", "origin_date", "target_date", "anchor_date"}
 
 

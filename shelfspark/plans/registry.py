@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import windows
-from shelfspark.plans import catalog, window_queries  # noqa: F401  registers
+from shelfspark.plans import catalog, model_queries, panel_queries, window_queries  # noqa: F401  registers
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ DERIVED = {
                CASE WHEN a.product_id < b.product_id THEN 0.2 ELSE -0.1 END AS cross_elasticity
         FROM products a JOIN products b ON a.category = b.category AND a.product_id <> b.product_id""",
 }
-DERIVED = {n: re.sub(r"round\((.*?), 4\)", r"floor((\1) * 10000 + 0.500001) / 10000", sql) for n, sql in DERIVED.items()}
+DERIVED = {n: re.sub(r"round\((.*?), 4\)", r"floor((\1) * 10000 + 0.5001) / 10000", sql) for n, sql in DERIVED.items()}
 NEEDS = {"promotions": ("sales_daily",), "competitor_pricing": ("sales_daily",), "inventory": ("sales_daily",), "relationships": ("products",)}
 
 
