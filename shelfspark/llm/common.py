@@ -29,7 +29,7 @@ def materialise(df: DataFrame) -> DataFrame:
     executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,15 +5,17 @@ the longer one's characters (so short lines must be equal).  Lines of only white
 never duplicates.  A line split into TAU + 1 segments keeps at least one of them unchanged
 under TAU edits, so:
 
-1. Distinct lines are taken once; each gets a number.
-2. Every line indexes its own segments under (segment, its length, the segment's characters)
-   and probes, for every length it can match, the substrings at those positions that the
-   multi-match-aware bound allows (for TAU = 2: 3 index rows and 12 probes).
-3. Lines meet on that key under a condition that every pair within TAU edits satisfies: an
-   edit changes the parity of at most two letter counts, so at most 2 TAU parities differ.
-   The pairs are taken once, sieved by Spark's own thresholded distance and verified by a banded bit-parallel automaton: one bit for each diagonal
-   of the band and one word for each number of errors, so a step costs a few integer
-   operations whatever TAU is.
+1. Every distinct line gets, from its first place, a key for each substring that can be an
+   unchanged segment: for every length it can match, the positions that the
+   multi-match-aware bound allows (12 keys for TAU = 2, its own segments among them).  A key
+   is a hash of the segment's number, the matched line's length and the characters.
+2. One shuffle on the key leaves the members of keys that two or more lines share; only
+   their texts are read again.
+3. Members meet on the key under conditions that every pair within TAU edits satisfies: the
+   lengths differ by at most TAU, and as an edit changes the parity of at most two letter
+   counts, at most 2 TAU parities differ.  Pairs are taken once, sieved by Spark's own
+   thresholded distance and verified by a banded bit-parallel automaton: one bit for each
+   diagonal of the band and one word for each number of errors.
 4. Components of the links are the classes; the first line (smallest document id, then line
    number) of a class stays.
 DataFrame functions only.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise
@@ -31,7 +33,7 @@ from .common import components, materialise
 TAU = 2
 LEAST = 10  # characters for each allowed edit
 BLANK = " \t\r\x0b\x0c"
-#: Numbers of candidate lines (8 bytes each) that may be broadcast; more are joined.
+#: Line hashes (a few dozen bytes each) that may be broadcast; more are joined.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -43,10 +45,6 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) >= first, 1).otherwise(0)).cast("int")
 
 
-def _key(i: int, n: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), n.cast("int"), F.col("line").substr(start, size))
-
-
 def _parities(line: str) -> Column:
     """One bit for each Latin letter: whether the line has an odd number of it."""
     n, out = F.length(line), F.lit(0)
@@ -56,22 +54,21 @@ def _parities(line: str) -> Column:
     return out
 
 
-def _index(rows: DataFrame, tau: int) -> DataFrame:
-    keys = [_key(i, F.col("n"), *_segment(F.col("n"), i, tau)) for i in range(tau + 1)]
-    return rows.select("lid", "n", "odd", F.explode(F.array(*keys)).alias("key"))
-
-
-def _probes(rows: DataFrame, tau: int) -> DataFrame:
+def _keys(tau: int) -> Column:
+    """All keys of a line (columns line, n); a line of TAU + 1 characters more than TAU has
+    every substring that is asked for."""
     keys = []
-    for less in range(tau + 1):
-        n = F.col("n") - less
-        for i in range(tau + 1):
+    for i in range(tau + 1):
+        first, _ = _segment(F.col("n") - tau, i, tau)
+        low = F.greatest(first - i, F.lit(1))  # where the region of all this segment's substrings starts
+        _, longest = _segment(F.col("n"), i, tau)
+        region = F.col("line").substr(low, longest + 3 * tau + 2)
+        for less in range(tau + 1):
+            n = F.col("n") - less
             start, size = _segment(n, i, tau)
             for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= F.col("n")) & (n > tau)
-                keys.append(F.when(inside, F.struct(_key(i, n, at, size).alias("key"), n.cast("int").alias("of"))))
-    return rows.select("lid", "n", "odd", F.explode(F.array_compact(F.array(*keys))).alias("x")).select("lid", "n", "odd", "x.key", "x.of")
+                keys.append(F.xxhash64(F.lit(i), n.cast("int"), region.substr((start + move - low + 1).cast("int"), size)))
+    return F.array(*keys)
 
 
 def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
@@ -106,28 +103,28 @@ def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
     return F.get(F.transform(F.array(F.split(a, "")), lambda chars: F.aggregate(matches(chars), start, step, end)), F.lit(0))
 
 
-def candidates(rows: DataFrame, tau: int = TAU) -> DataFrame:
-    """Distinct pairs (a, b) of line numbers that share a segment; rows: (lid, line, n, odd)."""
-    index = _index(rows, tau).select(F.col("lid").alias("a"), F.col("n").alias("m"), F.col("odd").alias("odd_a"), F.col("key").alias("key_a"))
-    probes = _probes(rows, tau).select(F.col("lid").alias("b"), "n", "odd", "key", "of")
-    meet = (F.col("key_a") == F.col("key")) & (F.col("m") == F.col("of")) & ((F.col("m") < F.col("n")) | (F.col("a") < F.col("b")))
-    near = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd"))) <= 2 * tau
-    return index.join(probes, meet & near).select("a", "b").distinct()
-
-
-def links(rows: DataFrame, tau: int = TAU, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Verified pairs (a, b) of distinct lines; rows: (lid, line, n, odd), each line once."""
-    pairs = materialise(candidates(rows, tau))
-    need = materialise(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
-    if need.count() <= broadcast_rows:
-        need = F.broadcast(need)
-    texts = rows.join(need, "lid", "left_semi").select("lid", "line")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+def members(rows: DataFrame, tau: int = TAU) -> DataFrame:
+    """(key, lid) of keys that two or more lines share; rows: (lid, line, n), each line once."""
+    keyed = rows.select("lid", F.explode(_keys(tau)).alias("key"))
+    w = Window.partitionBy("key")
+    shared = keyed.withColumn("low", F.min("lid").over(w)).withColumn("high", F.max("lid").over(w)).filter("low <> high")
+    return shared.select("key", "lid").distinct()
+
+
+def links(found: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """Verified pairs (a, b) of lines; found: (key, lid); texts: (lid, node, line), node naming the line."""
+    texts = materialise(texts.select("lid", "node", "line", F.length("line").alias("n"), _parities("line").alias("odd")))
+    rows = found.join(texts.drop("line"), "lid").select("key", "node", "n", "odd")
+    left = rows.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    meet = (F.col("ka") == F.col("key")) & (F.col("a") < F.col("node")) & (F.abs(F.col("na") - F.col("n")) <= tau)
+    near = F.bit_count(F.col("oa").bitwiseXOR(F.col("odd"))) <= 2 * tau
+    pairs = left.join(rows, meet & near).select("a", F.col("node").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     # Spark's compiled thresholded distance sieves the false pairs; the automaton, which runs
     # interpreted, verifies what is left
-    found = both.filter(F.levenshtein("x", "y", tau) >= 0).withColumn("d", edit_distance("x", "y", tau))
-    return found.filter(LEAST * F.col("d") <= F.greatest(F.length("x"), F.length("y"))).select("a", "b")
+    close = both.filter(F.levenshtein("x", "y", tau) >= 0).withColumn("d", edit_distance("x", "y", tau))
+    return close.filter(LEAST * F.col("d") <= F.greatest(F.length("x"), F.length("y"))).select("a", "b")
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -135,29 +132,38 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast when it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, th, line_no, class_id, class_line_no, removed) of every line whose class has two or
-    more lines: the class is named by its first line, all others are removed.
+    more places: the class is named by its first place, all others are removed.
 
     th is a hash of the text: rows that repeat an id with another text are told apart, rows
     that repeat id and text are one document.  First means smallest id (null last), then th,
     then line number.  Null texts have no lines.
     """
     lines = _lines(docs, id_col, text)
-    digest = F.unhex(F.md5(F.col("line").cast("binary")))
-    distinct = materialise(lines.select("line").distinct().filter(F.length("line") >= LEAST).select(
-        F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n"), _parities("line").alias("odd")))
-    found = materialise(links(distinct, tau))
-    roots = components(found)
-    # class names of linked lines: the digest of one of their lines
-    named = distinct.join(roots, distinct["lid"] == roots["node"]).select(digest.alias("digest"), "root")
-    head = named.groupBy("root").agg(F.min("digest").alias("head"))
-    named = named.join(head, "root").select("digest", "head")
-    places = lines.select("id", "th", "line_no", digest.alias("digest")).distinct()
-    placed = places.join(named, "digest", "left").select("id", "th", "line_no", F.coalesce("head", "digest").alias("head"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "line_no")).alias("first")
-    heads = placed.groupBy("head").agg(first, F.count(F.lit(1)).alias("size")).filter("size > 1")
-    joined = placed.join(heads, "head")
+    digest, lid = F.unhex(F.md5(F.col("line").cast("binary"))), F.xxhash64("line")
+    places = materialise(lines.select("id", "th", "line_no", digest.alias("digest"), lid.alias("lid"), F.length("line").alias("n")))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line_no")
+    by_line = materialise(places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("lid").alias("lid"), F.min("n").alias("n")))
+    # each distinct line once, from its first place: lines of one place need no look-up
+    again = materialise(by_line.filter((F.col("first") != F.col("last")) & (F.col("n") >= LEAST)).select(
+        F.col("lid").alias("again"), F.col("first.id").alias("fi"), F.col("first.th").alias("ft"), F.col("first.line_no").alias("fl")))
+    long = lines.select("id", "th", "line_no", "line", lid.alias("lid"), F.length("line").alias("n")).filter(F.col("n") >= LEAST)
+    once = long.join(_small(again, broadcast_rows), F.col("lid") == F.col("again"), "left").filter(
+        F.col("again").isNull() | (F.col("fi").eqNullSafe(F.col("id")) & (F.col("ft") == F.col("th")) & (F.col("fl") == F.col("line_no"))))
+    found = materialise(members(once.select("lid", "line", "n"), tau))
+    need = materialise(found.select(F.col("lid").alias("need")).distinct())
+    texts = long.join(_small(need, broadcast_rows), F.col("lid") == F.col("need"), "left_semi").select("lid", digest.alias("node"), "line").distinct()
+    roots = components(links(found, texts, tau))
+    placed = by_line.join(roots, by_line["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("head"), "first", "last")
+    heads = placed.groupBy("head").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first") != F.col("last")).select("head", "first")
+    of_line = placed.select("digest", "head").join(heads, "head").select("digest", "first")
+    joined = places.select("id", "th", "line_no", "digest").join(of_line, "digest").drop("digest").distinct()
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no"))
     return joined.select(F.col("id").alias(id_col), "th", "line_no", F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line_no"), (~own).alias("removed"))
 

@@ -25,7 +25,7 @@ from .common import added, utf8
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
-EPOCHS, BATCH, RATE, L1 = 12, 64, 0.15, 1.0e-3
+EPOCHS, STEPS, BATCH, RATE, L1 = 12, 3_000, 64, 0.15, 1.0e-3  # passes and steps: at least this many of both
 LEAST_DOCS = 5  # a bucket that fewer labelled texts have gets no weight
 LONG = 1 << 22  # bytes of a text tokenised at once
 TOKEN = regex.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
@@ -92,7 +92,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, buckets: int =
     squares, squares_t = np.full(buckets, 1e-2), np.full(levels - 1, 1e-2)
     rng, n = np.random.default_rng(seed), len(rows)
     size = np.fromiter(map(len, rows), np.int64, n)
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             pick = order[at : at + BATCH]
@@ -152,28 +152,23 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, id_col: str = "d
     return fit(rows, table["grade"].to_numpy().astype(np.int64), levels, buckets)
 
 
-def rate(docs: DataFrame, model: Ordinal, good: int, text: str = "text") -> DataFrame:
-    """docs with expected_grade and tail_probability = P(grade >= good); clashing columns of
-    these names are replaced.  A null text is empty and gets the thresholds' own shares."""
-    docs = docs.drop("expected_grade", "tail_probability")
-    schema = added(docs, "expected_grade double, tail_probability double")
+def rate(docs: DataFrame, model: Ordinal, good: int, text: str = "text", grade: str = "expected_grade", tail: str = "tail_probability") -> DataFrame:
+    """docs with the columns `grade` (expected grade) and `tail` (P(grade >= good)), which
+    must be new names.  A null text is empty and gets the thresholds' own shares."""
+    schema = added(docs, f"`{grade}` double, `{tail}` double")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def run(batches):
         ordinal, memory = shipped.value, {}
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("__llm_text"))
             scores = []
-            for value in texts:
+            for value in batch.columns[-1]:
                 scores.append(ordinal.score(tokens(value.as_buffer().to_pybytes()), memory))
                 if len(memory) > REMEMBER:
                     memory.clear()
             p = ordinal.probabilities(np.array(scores, float))
-            columns = [c for c, n in zip(batch.columns, names) if n != "__llm_text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, good:].sum(1))],
-                names=[*(n for n in names if n != "__llm_text"), "expected_grade", "tail_probability"])
+                [*batch.columns[:-1], pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, good:].sum(1))], names=[*batch.schema.names[:-1], grade, tail])
 
     return docs.withColumn("__llm_text", utf8(text)).mapInArrow(run, schema)
 
@@ -187,8 +182,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    rated = rate(docs, _trained(docs, labels, id_col, text, sample), 2, text)
-    return rated.filter(F.col("tail_probability") >= least).drop("expected_grade", "tail_probability")
+    rated = rate(docs, _trained(docs, labels, id_col, text, sample), 2, text, "__llm_grade", "__llm_tail")
+    return rated.filter(F.col("__llm_tail") >= least).drop("__llm_grade", "__llm_tail")
 
 
 def _trained(docs, labels, id_col, text, sample) -> Ordinal:

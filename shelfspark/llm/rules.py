@@ -117,10 +117,10 @@ def _interpolated(counts: DataFrame, history: Column, lower: DataFrame, low_key:
         return F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"t{k}")
 
     t = counts.groupBy("lang").agg(at(1), at(2), at(3), at(4))
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
 
     def discount(k: int) -> Column:
-        value = k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")
+        value = k - F.try_divide((k + 1) * y * F.col(f"t{k + 1}"), F.col(f"t{k}"))
         good = (F.col(f"t{k}") > 0) & (F.col("t1") > 0) & (value > 0) & (value < k)
         return F.when(good, value).otherwise(k / 2).alias(f"d{k}")
 
