@@ -50,7 +50,16 @@ def time_index(df: DataFrame) -> DataFrame:
 
 def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     """The calendar dimension of a date range."""
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("date"))
+    return calendar_of(spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("date")))
+
+
+def days_of(df: DataFrame) -> DataFrame:
+    """Every day from the first to the last date of a table."""
+    return df.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+
+
+def calendar_of(days: DataFrame) -> DataFrame:
+    """Calendar attributes of the dates of `days`."""
     holiday, festival = F.lit(False), F.lit(False)
     for m, d in HOLIDAYS:
         holiday = holiday | ((F.month("date") == m) & (F.dayofmonth("date") == d))

@@ -53,22 +53,22 @@ add("x01_date_parts", lambda t: scalar.date_parts(t.sales.select("date").distinc
     plain="date weekend", whole="day_of_week week_of_year month quarter year financial_month financial_quarter financial_year", doubles="dow_sin month_cos doy_sin season_cos_2")
 add("x03_time_index", lambda t: scalar.time_index(t.sales).groupBy("product_id").agg(F.min("time_index").alias("first"), F.max("time_index").alias("last")),
     "SELECT product_id, min(date_diff('day', m, date)) AS first, max(date_diff('day', m, date)) AS last FROM sales_daily, (SELECT min(date) AS m FROM sales_daily) GROUP BY product_id", plain="product_id", whole="first last")
-add("x05_calendar", lambda t: scalar.calendar(t.spark, "1995-01-01", "1996-12-31"),
+add("x05_calendar", lambda t: scalar.calendar_of(scalar.days_of(t.sales)),
     """SELECT date, isodow(date) - 1 AS day_of_week, isodow(date) >= 6 AS weekend_flag,
               (month(date), day(date)) IN ((1, 26), (8, 15), (10, 2), (12, 25)) AS holiday_flag,
               date BETWEEN make_date(year(date)::BIGINT, 10, 9) AND make_date(year(date)::BIGINT, 10, 15) OR date BETWEEN make_date(year(date)::BIGINT, 12, 19) AND make_date(year(date)::BIGINT, 12, 25) AS festival_flag,
               CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) <= 5 THEN 'summer' WHEN month(date) <= 9 THEN 'monsoon' ELSE 'autumn' END AS season
-       FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS date)""", plain="date weekend_flag holiday_flag festival_flag season", whole="day_of_week")
-add("w15_festival_proximity", lambda t: scalar.festival_proximity(scalar.calendar(t.spark, "1995-01-01", "1996-12-31")),
+       FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM sales_daily)""", plain="date weekend_flag holiday_flag festival_flag season", whole="day_of_week")
+add("w15_festival_proximity", lambda t: scalar.festival_proximity(scalar.calendar_of(scalar.days_of(t.sales))),
     """SELECT date, date_diff('day', date, min(CASE WHEN f THEN date END) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS days_to_festival,
               date_diff('day', max(CASE WHEN f THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date) AS days_since_festival
        FROM (SELECT date, (month(date) = 10 AND day(date) BETWEEN 9 AND 15) OR (month(date) = 12 AND day(date) BETWEEN 19 AND 25) AS f
-             FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS date))""", plain="date", whole="days_to_festival days_since_festival")
+             FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM sales_daily))""", plain="date", whole="days_to_festival days_since_festival")
 add("x06_log_columns", lambda t: scalar.logs(t.sales), "SELECT date, product_id, store_id, ln(units) AS log_units, ln(selling_price) AS log_price FROM sales_daily WHERE units > 0 AND selling_price > 0",
     plain=PANEL, doubles="log_units log_price")
-add("x08_horizon_buckets", lambda t: t.spark.range(1, 91).select(F.col("id").alias("step"), scalar.bucket(F.col("id")).alias("bucket")).join(F.broadcast(t("stores").select("store_id"))),
-    """SELECT step, store_id, CASE WHEN step <= 3 THEN '1-3' WHEN step <= 7 THEN '4-7' WHEN step <= 14 THEN '8-14' WHEN step <= 28 THEN '15-28' WHEN step <= 56 THEN '29-56' ELSE '57-90' END AS bucket
-       FROM range(1, 91) r(step), stores""", "stores", plain="store_id bucket", whole="step")
+add("x08_horizon_buckets", lambda t: t.sales.groupBy(scalar.bucket(F.col("units") % 90 + 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")),
+    """SELECT CASE WHEN step <= 3 THEN '1-3' WHEN step <= 7 THEN '4-7' WHEN step <= 14 THEN '8-14' WHEN step <= 28 THEN '15-28' WHEN step <= 56 THEN '29-56' ELSE '57-90' END AS bucket, count(*) AS n
+       FROM (SELECT units % 90 + 1 AS step FROM sales_daily) GROUP BY ALL""", plain="bucket", whole="n")
 add("x09_depth_bands", lambda t: t.sales.withColumn("band", scalar.depth_band(F.col("discount_percentage"))).groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.avg("units").alias("mean_units")),
     """SELECT CASE WHEN discount_percentage <= 0 THEN 'none' WHEN discount_percentage <= 10 THEN '0-10' WHEN discount_percentage <= 20 THEN '10-20' WHEN discount_percentage <= 30 THEN '20-30' ELSE '30-100' END AS band,
               count(*) AS rows, avg(units) AS mean_units FROM sales_daily GROUP BY ALL""", plain="band", whole="rows", doubles="mean_units")
