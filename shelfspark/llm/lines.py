@@ -115,10 +115,13 @@ def links(found: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
     """Verified pairs (a, b) of lines; found: (key, lid); texts: (lid, node, line), node naming the line."""
     texts = materialise(texts.select("lid", "node", "line", F.length("line").alias("n"), _parities("line").alias("odd")))
     rows = found.join(texts.drop("line"), "lid").select("key", "node", "n", "odd")
-    left = rows.select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    meet = (F.col("ka") == F.col("key")) & (F.col("a") < F.col("node")) & (F.abs(F.col("na") - F.col("n")) <= tau)
+    # the shorter line of a pair (of equal ones the smaller node) meets the other on its own segments
+    own = F.array(*[F.xxhash64(F.lit(i), "n", F.col("line").substr(*_segment(F.col("n"), i, tau))) for i in range(tau + 1)])
+    left = texts.select(F.explode(own).alias("ka"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    longer = (F.col("n") > F.col("na")) | ((F.col("n") == F.col("na")) & (F.col("a") < F.col("node")))
+    meet = (F.col("ka") == F.col("key")) & longer & (F.col("n") - F.col("na") <= tau)
     near = F.bit_count(F.col("oa").bitwiseXOR(F.col("odd"))) <= 2 * tau
-    pairs = left.join(rows, meet & near).select("a", F.col("node").alias("b")).distinct()
+    pairs = left.join(rows, meet & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     # Spark's compiled thresholded distance sieves the false pairs; the automaton, which runs
