@@ -48,6 +48,11 @@ def added(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast when it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph given as rows (a, b).
 

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, small
 
 TAU = 2
 LEAST = 10  # characters for each allowed edit
@@ -135,11 +135,6 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast when it has at most `rows` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, th, line_no, class_id, class_line_no, removed) of every line whose class has two or
     more places: the class is named by its first place, all others are removed.
@@ -157,11 +152,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: in
     again = materialise(by_line.filter((F.col("first") != F.col("last")) & (F.col("n") >= LEAST)).select(
         F.col("lid").alias("again"), F.col("first.id").alias("fi"), F.col("first.th").alias("ft"), F.col("first.line_no").alias("fl")))
     long = lines.select("id", "th", "line_no", "line", lid.alias("lid"), F.length("line").alias("n")).filter(F.col("n") >= LEAST)
-    once = long.join(_small(again, broadcast_rows), F.col("lid") == F.col("again"), "left").filter(
+    once = long.join(small(again, broadcast_rows), F.col("lid") == F.col("again"), "left").filter(
         F.col("again").isNull() | (F.col("fi").eqNullSafe(F.col("id")) & (F.col("ft") == F.col("th")) & (F.col("fl") == F.col("line_no"))))
     found = materialise(members(once.select("lid", "line", "n"), tau))
     need = materialise(found.select(F.col("lid").alias("need")).distinct())
-    texts = long.join(_small(need, broadcast_rows), F.col("lid") == F.col("need"), "left_semi").select("lid", digest.alias("node"), "line").distinct()
+    texts = long.join(small(need, broadcast_rows), F.col("lid") == F.col("need"), "left_semi").select("lid", digest.alias("node"), "line").distinct()
     roots = components(links(found, texts, tau))
     placed = by_line.join(roots, by_line["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("head"), "first", "last")
     heads = placed.groupBy("head").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first") != F.col("last")).select("head", "first")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import added, materialise, utf8
+from .common import added, materialise, small, utf8
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50  # per cent
@@ -26,6 +26,7 @@ START = 0x110000  # stands before a text, twice; above all code points
 CHUNK = 1 << 19  # code points handled at once
 FLUSH = 2_000_000  # distinct trigrams a task holds before it passes them on
 BROADCAST_ROWS = 4_000_000  # 12 bytes each on an executor's Python worker
+LANGUAGES = 10_000  # one row each, broadcast so that rows of a common language stay where they are
 WIDTH, LEAST, BIN = 8.0, 0.2, 0.002  # band: deviations, least half width and bins of log perplexity
 
 
@@ -124,7 +125,7 @@ def _interpolated(counts: DataFrame, history: Column, lower: DataFrame, low_key:
         good = (F.col(f"t{k}") > 0) & (F.col("t1") > 0) & (value > 0) & (value < k)
         return F.when(good, value).otherwise(k / 2).alias(f"d{k}")
 
-    t = t.select("lang", discount(1), discount(2), discount(3))
+    t = small(materialise(t.select("lang", discount(1), discount(2), discount(3))), LANGUAGES)
     rows = counts.withColumn("h", history).withColumn("low", low_key)
     held = rows.groupBy("lang", "h").agg(
         F.sum("n").alias("s"), *(F.sum(F.when(test, 1).otherwise(0)).alias(f"k{k}") for k, test in
@@ -246,7 +247,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """
     probabilities = model(materialise(count_trigrams(docs, text, lang)))
     scored = materialise(score(docs, probabilities, id_col, text, lang))
-    limits = bands(scored).withColumnRenamed("lang", "__llm_of")
+    limits = small(materialise(bands(scored).withColumnRenamed("lang", "__llm_of")), LANGUAGES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return scored.join(limits, scored["__llm_lang"] == limits["__llm_of"], "left").select(
