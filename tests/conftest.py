@@ -14,7 +14,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    session = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch).config("spark.checkpoint.dir", scratch + "/shared")
                .config("spark.sql.warehouse.dir", scratch + "/warehouse").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
