@@ -8,6 +8,12 @@ paragraphs always.  Paragraphs that collide in a band link to the band's smalles
 largest text, exact Jaccard similarity of 0.8 or more is verified, and components of the
 links are the classes.  Stretches of repeated paragraphs of at least RUN words are reported;
 all but the first place of a class are marked for removal.
+
+Exact repeats of SPAN words or more are found to their true ends besides, wherever lines
+break.  The least hash of any ANCHORS consecutive grams of GRAM words is an anchor, so every
+span of SPAN = GRAM + ANCHORS - 1 words holds one, the same in each copy.  Windows of SPAN
+words round anchors that occur twice are compared by their hashes; the words that repeated
+windows cover are the exact repeats.
 """
 
 from __future__ import annotations
@@ -23,6 +29,9 @@ from .common import added, components, materialise, utf8
 SHINGLE, SIMILAR = 5, 0.8
 MIN, CUT, RUN = 8, 8, 20  # words: least paragraph, mean further words to a cut, least stretch
 BANDS, ROWS = 4, 2
+GRAM, ANCHORS = 20, 32  # words of an anchor's gram; consecutive grams of which the least is an anchor (a power of two)
+SPAN = GRAM + ANCHORS - 1  # words: least exact repeat
+BITS = 27  # log2 of the most bits of the broadcast filter of anchors; only costs depend on it
 #: Text hashes (8 bytes) that may be broadcast to Python workers; more are joined.
 BROADCAST_ROWS = 2_000_000
 REMEMBER = 1_000_000
@@ -33,6 +42,7 @@ _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
 
 
 class _Memory(dict):
@@ -51,6 +61,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every run of k words."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    # sums of powers, each run's divided by the power it starts with
+    powers = np.cumprod(np.full(n, _BASE, np.uint64), dtype=np.uint64)
+    inverse = np.cumprod(np.full(n - k + 1, pow(_BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+    return _mixed((sums[k:] - sums[:-k]) * inverse)
+
+
 class Paragraphs:
     """A text's paragraphs: word bounds, shingle hashes and text hashes."""
 
@@ -67,7 +89,7 @@ class Paragraphs:
         self.ends = np.flatnonzero(~gap[:-1] & gap[1:])
         if len(_MEMORY) > REMEMBER:
             _MEMORY.clear()
-        hashes = np.fromiter(map(_MEMORY.__getitem__, words), np.uint64, n)
+        self.hashed = hashes = np.fromiter(map(_MEMORY.__getitem__, words), np.uint64, n)
         line_end = np.zeros(n, bool)
         newlines = np.searchsorted(self.ends, np.flatnonzero(codes == 10), "right") - 1
         line_end[newlines[newlines >= 0]] = True
@@ -79,9 +101,10 @@ class Paragraphs:
             if i + 1 - at >= MIN:
                 cuts.append((at, i + 1))
                 at = i + 1
-            elif ends:  # too short for a paragraph of its own: joins the one before in its line
-                if cuts and cuts[-1][1] == at and not line_end[at - 1]:
-                    cuts[-1] = (cuts[-1][0], i + 1)
+            elif ends and cuts and cuts[-1][1] == at and not line_end[at - 1]:
+                # too short for a paragraph of its own: joins the one before in its line; a short
+                # line runs on into the next
+                cuts[-1] = (cuts[-1][0], i + 1)
                 at = i + 1
         if cuts:
             self.a, self.b = np.array(cuts, np.int64).T
@@ -93,6 +116,21 @@ class Paragraphs:
     def __len__(self) -> int:
         return len(self.a)
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions and hashes of the anchors."""
+        if len(self.words) < SPAN:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        grams = _grams(self.hashed, GRAM)
+        least = grams
+        for step in (1 << i for i in range(ANCHORS.bit_length() - 1)):
+            least = np.minimum(least[:-step], least[step:])
+        edge = np.zeros(ANCHORS - 1, np.uint64)
+        most = np.concatenate([edge, least, edge])  # a gram is an anchor if it is some window's least
+        for step in (1 << i for i in range(ANCHORS.bit_length() - 1)):
+            most = np.maximum(most[:-step], most[step:])
+        at = np.flatnonzero(most == grams)
+        return at, grams[at]
+
     def hashes(self) -> list[int]:
         digest = xxhash.xxh64_intdigest
         return [digest(b" ".join(self.words[a:b]), 1) for a, b in zip(self.a.tolist(), self.b.tolist())]
@@ -115,16 +153,17 @@ class Paragraphs:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, th, number, start, end, words, h, keys): every paragraph of every text; start and end in
-    code points, end exclusive; th is a hash of the text; h is the paragraph's text hash."""
-    schema = added(docs.select(F.col(id_col).alias("id")), "th long, number int, start int, `end` int, words int, h long, keys array<long>")
+    """(id, th, number, start, end, words, h, keys, anchors): every paragraph of every text; start and
+    end in code points, end exclusive; th is a hash of the text; h is the paragraph's text hash; a
+    text's first paragraph has the hashes of its anchors."""
+    schema = added(docs.select(F.col(id_col).alias("id")), "th long, number int, start int, `end` int, words int, h long, keys array<long>, anchors array<long>")
     names = schema.names
 
     def run(batches):
         for batch in batches:
             for piece in range(0, batch.num_rows, 256):
                 part = batch.slice(piece, 256)
-                who, columns, keys = [], [[] for _ in range(5)], []
+                who, columns, keys, anchors = [], [[] for _ in range(5)], [], []
                 for row, value in enumerate(part.column("text")):
                     raw = value.as_buffer().to_pybytes()
                     p = Paragraphs(raw)
@@ -135,6 +174,7 @@ def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     for column, v in zip(columns, (np.arange(len(p)), points[p.starts[p.a]], points[p.ends[p.b - 1]], p.b - p.a, np.array(p.hashes(), np.uint64).view(np.int64))):
                         column.append(v)
                     keys.append(p.keys().view(np.int64))
+                    anchors += [p.anchors()[1].view(np.int64), *[None] * (len(p) - 1)]
                 if not who:
                     continue
                 rows = pa.array(np.concatenate(who))
@@ -142,7 +182,7 @@ def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS), pa.int32()), pa.array(flat.ravel()))
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(rows), part.column("th").take(rows), *(pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds)), lists], names=names)
+                    [part.column("id").take(rows), part.column("th").take(rows), *(pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds)), lists, pa.array(anchors, pa.list_(pa.int64()))], names=names)
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text)).alias("th"), utf8(text).alias("text"))
     return source.mapInArrow(run, schema)
@@ -190,9 +230,86 @@ def links(docs: DataFrame, table: DataFrame, text: str = "text", broadcast_rows:
     return both.filter(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit array, and log2 of its size, in which the bit of every hash that occurs twice is set."""
+    twice = materialise(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    bits = min(BITS, max(12, (16 * twice.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    words = twice.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out.view(np.uint64), bits
+
+
+def _windows(docs: DataFrame, id_col: str, text: str, anchors: DataFrame) -> DataFrame:
+    """(id, th, s, a, b, c, w): windows of SPAN words that hold an anchor that occurs twice: first
+    word, start, end and start of the last word in code points, and hash.  The filter lets some
+    other windows through."""
+    table, bits = _filter(anchors)
+    table = docs.sparkSession.sparkContext.broadcast(table)
+    schema = added(docs.select(F.col(id_col).alias("id")), "th long, s int, a int, b int, c int, w long")
+
+    def run(batches):
+        known = table.value
+        for batch in batches:
+            for piece in range(0, batch.num_rows, 64):
+                part = batch.slice(piece, 64)
+                who, columns = [], [[] for _ in range(5)]
+                for row, value in enumerate(part.column("text")):
+                    raw = value.as_buffer().to_pybytes()
+                    p = Paragraphs(raw)
+                    at, h = p.anchors()
+                    slot = h >> np.uint64(64 - bits)
+                    at = at[known[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
+                    if not len(at):
+                        continue
+                    n = len(p.words) - SPAN + 1
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, np.maximum(at - ANCHORS + 1, 0), 1)
+                    np.add.at(edge, np.minimum(at + 1, n), -1)
+                    s = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                    points = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])
+                    who.append(np.full(len(s), row))
+                    last = s + SPAN - 1
+                    for column, v in zip(columns, (s, points[p.starts[s]], points[p.ends[last]], points[p.starts[last]], _grams(p.hashed, SPAN)[s].view(np.int64))):
+                        column.append(v)
+                if who:
+                    rows = pa.array(np.concatenate(who))
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("th").take(rows), *(pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text)).alias("th"), utf8(text).alias("text")).mapInArrow(run, schema)
+
+
+def exact(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, start, end, words, class_id, class_start, removed): exact repeats of SPAN words or
+    more to their true ends; table as of `paragraphs`.
+
+    A row is a longest run of windows whose first places lie in one document.  A run that
+    overlaps its own first place is taken from the last word of its first window on.
+    """
+    rows = materialise(_windows(docs, id_col, text, table.select(F.explode("anchors").alias("h"))))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "s", "a", "b")
+    heads = rows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("w", "first")
+    found = rows.join(heads, "w").drop("w")
+    w = Window.partitionBy("id", "th").orderBy("s")
+    before = F.lag("s").over(w)
+    found = found.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("s"))).drop("before")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    found = found.withColumn("same", same).withColumn("own", same & (F.col("s") == F.col("first.s"))).withColumn("of", F.struct("own", "first.id", "first.th"))
+    goes_on = (F.col("s") - before == 1) & F.col("of").eqNullSafe(F.lag("of").over(w))
+    found = found.withColumn("run", F.sum(F.coalesce((~goes_on).cast("int"), F.lit(1))).over(w))
+    runs = found.groupBy("id", "th", "run").agg(F.min(F.struct("s", "a", "c", "same", "own", "first")).alias("head"), F.max("s").alias("s"), F.max("b").alias("b"))
+    lapped = F.col("head.same") & ~F.col("head.own") & (F.col("head.first.b") > F.col("head.a"))
+    return runs.select("id", "th", F.when(lapped, F.col("head.c")).otherwise(F.col("head.a")).alias("start"), F.col("b").alias("end"),
+                       (F.col("s") - F.col("head.s") + F.when(lapped, 1).otherwise(SPAN)).alias("words"), F.col("head.first.id").alias("class_id"),
+                       F.col("head.first.a").alias("class_start"), (~F.col("head.own")).alias("removed"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, start, end, words, run_words, class_id, class_start, removed): every paragraph of a
-    repeated stretch.
+    repeated stretch, and every exact repeat of SPAN words or more (`exact`; its run_words are
+    its words).  Rows of the two kinds overlap; what is removed is the union.
 
     A class is the paragraphs that links connect, equal texts among them; it counts when it
     has two places or more.  class_id and class_start are its first place (smallest id, null
@@ -200,7 +317,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     one another in a document, or with one other between them, form a stretch; stretches of
     under RUN words in them are left out.  Null
     texts have no paragraphs; rows that repeat id and text are one document.  Words under MIN
-    in a line form no paragraph.
+    behind a text's last cut form no paragraph.
     """
     table = materialise(paragraphs(docs, id_col, text))
     roots = components(links(docs, table, text))
@@ -217,4 +334,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     found = found.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(w))
     found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "th", "stretch"))).filter(F.col("run_words") >= RUN)
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("start") == F.col("first.start"))
-    return found.select(F.col("id").alias(id_col), "th", "start", "end", "words", "run_words", F.col("first.id").alias("class_id"), F.col("first.start").alias("class_start"), (~own).alias("removed"))
+    near = found.select("id", "th", "start", "end", "words", "run_words", F.col("first.id").alias("class_id"), F.col("first.start").alias("class_start"), (~own).alias("removed"))
+    whole = exact(docs, table, id_col, text).withColumn("run_words", F.col("words"))
+    return near.unionByName(whole).withColumnRenamed("id", id_col)

@@ -191,6 +191,35 @@ def test_passages_planted(spark):
     assert passages.repeats(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
 
 
+def test_every_exact_passage_to_its_ends(spark):
+    rng = random.Random(8)
+
+    def some(k):
+        return [f"{rng.choice('abcdé')}{rng.randrange(10**6)}" for _ in range(k)]
+
+    rows, want = [], {}
+    for n in [*range(51, 91), 200]:
+        shared = some(n)
+        for copy in range(2):
+            head, tail = some(rng.randint(0, 60)), some(rng.randint(0, 60))
+            mark = "\n" if copy else " "
+            gaps = [mark if i % 4 == 3 and n % 2 else " " for i in range(n - 1)] + [""]
+            body = "".join(x + g for x, g in zip(shared, gaps))
+            text = " ".join([*head, body, *tail])
+            start = len(" ".join([*head, ""]))
+            want[len(rows)] = (start, start + len(body), n, bool(copy))
+            rows.append((len(rows), text, "en", "s", 0))
+    periodic = len(rows)
+    rows.append((periodic, "same " * 70, "en", "s", 0))
+    rows += [(None, None, "en", "s", 0), rows[0], (9_000, " ".join(some(50)), "en", "s", 0)]
+    got = passages.repeats(spark.createDataFrame(rows, DOCS)).collect()
+    for i, (a, b, n, removed) in want.items():
+        assert [(r.start, r.end, r.words, r.removed, r.class_id) for r in got if r.doc_id == i and r.run_words == r.words == n and r.end - r.start == b - a] == [(a, b, n, removed, i - i % 2)]
+    assert not [r for r in got if r.doc_id is None or r.doc_id == 9_000]
+    lapped = sorted((r.start, r.end, r.words, r.removed) for r in got if r.doc_id == periodic and r.words in (51, 19))
+    assert lapped == [(0, 254, 51, False), (255, 349, 19, True)]
+
+
 def test_schedule_keeps_within_a_block(spark):
     quota = mixing.quotas(mixing.WEIGHTS, mixing.REST)
     plan = mixing.brute_schedule(quota)
