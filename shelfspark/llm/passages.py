@@ -4,9 +4,10 @@ A paragraph is a run of words inside one line, cut after words chosen by their o
 that a passage that repeats inside other text is cut alike wherever it stands (MIN to about
 MIN + 2 CUT words).  Each has a MinHash signature over its five-word shingles in BANDS bands
 of ROWS rows; the band curve finds a pair of similarity 0.8 with probability 0.98 and equal
-paragraphs always.  Paragraphs that collide in a band link to the band's smallest and
-largest text, exact Jaccard similarity of 0.8 or more is verified, and components of the
-links are the classes.  Stretches of repeated paragraphs of at least RUN words are reported;
+paragraphs always.  Paragraphs that collide in a band are compared with the band's smallest and
+largest text; where that leaves a band in several components, its texts that share a rare
+shingle are compared, so no similar pair of a band is missed.  Exact Jaccard similarity of
+0.8 or more is verified, and components of the links are the classes.  Stretches of repeated paragraphs of at least RUN words are reported;
 all but the first place of a class are marked for removal.
 
 Exact repeats of SPAN words or more are found to their true ends besides, wherever lines
@@ -217,17 +218,51 @@ def _shingles(docs: DataFrame, text: str, need: DataFrame, broadcast_rows: int)
     return found.groupBy("h").agg(F.min("shingles").alias("shingles"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text hashes whose shingles are similar."""
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _apart(banded: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, b) in bands that the edges leave in several components: all that can be similar
+    and are not connected.
+
+    Similar sets share one of the rarest shingles of each (a prefix of n - ceil(SIMILAR n) + 1
+    of n), so only texts that meet on one are paired.
+    """
+    named = banded.join(components(edges).select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    open_ = named.join(split, "key").select("h", "root").distinct()
+    rows = materialise(open_.join(sets, "h").select("h", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy("h").orderBy("often", "s")
+    rare = rows.join(often, "s").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1)
+    rare = materialise(rare.filter("often > 1").select("s", "h", "root", "n"))
+    left, right = rare.select("s", *(F.col(c).alias(f"{c}_a") for c in ("h", "root", "n"))), rare.select("s", *(F.col(c).alias(f"{c}_b") for c in ("h", "root", "n")))
+    near = (F.col("n_a") >= SIMILAR * F.col("n_b") - 1e-9) & (F.col("n_b") >= SIMILAR * F.col("n_a") - 1e-9)
+    pairs = left.join(right, "s").filter((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    return pairs.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, table: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Verified edges (a, b) between text hashes of paragraphs (table as of `paragraphs`)."""
+    """Verified edges (a, b) between text hashes of paragraphs (table as of `paragraphs`), which
+    connect every similar pair that collides in a band."""
     w = Window.partitionBy("key")
-    banded = table.select("h", F.explode("keys").alias("key")).select("h", F.min("h").over(w).alias("low"), F.max("h").over(w).alias("high")).filter("low <> high")
+    banded = table.select("h", F.explode("keys").alias("key")).select("key", "h", F.min("h").over(w).alias("low"), F.max("h").over(w).alias("high")).filter("low <> high")
+    banded = materialise(banded.distinct())
     pairs = banded.select("h", F.explode(F.array("low", "high")).alias("hub")).filter("h <> hub")
-    pairs = materialise(pairs.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct())
-    need = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    pairs = pairs.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    need = materialise(banded.select("h").distinct())
     sets = materialise(_shingles(docs, text, need, broadcast_rows))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+    edges = materialise(_verified(pairs, sets))
+    return edges.union(_verified(_apart(banded.select("key", "h"), sets, edges), sets))
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does when the driver collects garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
@@ -335,5 +370,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "th", "stretch"))).filter(F.col("run_words") >= RUN)
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("start") == F.col("first.start"))
     near = found.select("id", "th", "start", "end", "words", "run_words", F.col("first.id").alias("class_id"), F.col("first.start").alias("class_start"), (~own).alias("removed"))
-    whole = exact(docs, table, id_col, text).withColumn("run_words", F.col("words"))
+    _release(docs)
+    whole = materialise(exact(docs, table, id_col, text)).withColumn("run_words", F.col("words"))
+    _release(docs)
     return near.unionByName(whole).withColumnRenamed("id", id_col)

@@ -191,6 +191,31 @@ def test_passages_planted(spark):
     assert passages.repeats(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
 
 
+def test_links_in_a_band_of_many_families(spark):
+    """All similar pairs of one band that mixes families are connected, as by brute force."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(4):
+            mine = list(base)
+            for at in rng.sample(range(60), rng.randint(0, 2)):
+                mine[at] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(mine), "en", "s", 0))
+    df = spark.createDataFrame(rows, DOCS)
+    table = common.materialise(passages.paragraphs(df, "doc_id", "text").withColumn("keys", F.array(F.lit(1).cast("long"))))
+    sets = {}
+    for _, text, *_ in rows:
+        p = passages.Paragraphs(text.encode())
+        for h, a, b in zip(p.hashes(), p.a, p.b):
+            sets[h - (1 << 64) if h >> 63 else h] = set(p.shingles[a : b - passages.SHINGLE + 1].tolist())
+    nodes = sorted(sets)
+    similar = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = passages.links(df, table).collect()
+    assert len(similar) >= 10 and {(r.b, r.a) for r in got} <= set(similar)
+    assert len(set(roots_of([(r.a, r.b) for r in got], nodes).values())) == len(set(roots_of(similar, nodes).values()))
+
+
 def test_every_exact_passage_to_its_ends(spark):
     rng = random.Random(8)
 
