@@ -8,7 +8,8 @@ Nothing scans a text but the automaton; a parser reads the characters round its
 Spans are (kind, start, end) in code points, end exclusive.  Base kinds are email, ip, card
 and phone.  Added kinds: url (a scheme with user information before the host), ssn and iban
 and account (identifier cues with a validated number), secret (a key or token cue with an
-assigned value of 16 or more characters).
+assigned value of 16 or more characters, of 8 or more behind a password cue).  Cues are
+found in any letter case.
 """
 
 from __future__ import annotations
@@ -33,11 +34,18 @@ LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 VALUE = ALNUM | frozenset("_-+/=.")
 CUES = {
-    "ssn": ("SSN", "ssn", "social security"),
-    "iban": ("IBAN", "iban"),
-    "account": ("account", "Account", "acct", "Acct", "passport", "Passport"),
-    "secret": ("token", "Token", "api_key", "apikey", "API_KEY", "secret", "password", "passwd"),
+    "ssn": ("ssn", "social security"),
+    "iban": ("iban",),
+    "account": ("account", "acct", "passport"),
+    "secret": ("token", "api_key", "apikey", "secret"),
+    "password": ("password", "passwd"),
 }
+LEAST = {"secret": 16, "password": 8}  # characters of an assigned value
+
+
+def _lower(text: str) -> str:
+    """A-Z to a-z alone, so that offsets stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=1)
@@ -136,8 +144,10 @@ def _cued(kind: str, text: str, start: int, at: int) -> tuple[str, int, int] | N
     """The identifier that follows a cue at [start, at), validated."""
     if start and text[start - 1] in ALNUM:
         return None
-    if kind == "account" and text[at : at + 7].lower() in (" number", " no. or"):
-        at += 7
+    for word in (" number", " no. or", " no."):
+        if _lower(text[at : at + len(word)]) == word:
+            at += len(word)
+            break
     value = _after_cue(text, at)
     if value == at:
         return None
@@ -161,7 +171,7 @@ def _cued(kind: str, text: str, start: int, at: int) -> tuple[str, int, int] | N
         return None
     end = _run(text, value, VALUE)
     part = text[value:end]
-    return ("secret", value, end) if end - value >= 16 and any(c in DIGITS for c in part) else None
+    return ("secret", value, end) if end - value >= LEAST[kind] and any(c in DIGITS for c in part) else None
 
 
 def _userinfo(text: str, at: int) -> tuple[int, int] | None:
@@ -185,7 +195,7 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     more = {k: [] for k in MORE}
     email_free = ip_free = card_free = phone_free = 0
     more_free = dict.fromkeys(MORE, 0)
-    for last, (kind, size) in _automaton().iter(text):
+    for last, (kind, size) in _automaton().iter(_lower(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= ip_free:

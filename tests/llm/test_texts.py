@@ -125,6 +125,16 @@ def test_pii_added_kinds_and_digest(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_cues_in_any_case():
+    secret = "3fdf5a35c7b8d733c0b5c7d364eda8ac"
+    cases = {f'TOKEN = "{secret.upper()}"': secret.upper(), f"Api_Key: {secret}": secret, f"SECRET={secret}": secret, "PASSWORD: hunter2x": "hunter2x",
+             "Social Security Number: 123-45-6789": "123-45-6789", "social security number 123-45-6789": "123-45-6789", "SOCIAL SECURITY NO. 123-45-6789": "123-45-6789",
+             "Iban No.: DE89370400440532013000": "DE89370400440532013000", "ACCOUNT NO. 12345678": "12345678", "İ É Passport Number: X1234567": "X1234567"}
+    for text, value in cases.items():
+        assert [text[a:b] for _, a, b in pii.spans(text)[1]] == [value], text
+    assert pii.spans("PASSWORD: hunter2 and the Token, number 5")[1] == []
+
+
 def brute_counts(t):
     words = re.findall(r"[^\x20\x09-\x0d]+", t)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
