@@ -25,7 +25,7 @@ BITS, MASK = 21, (1 << 21) - 1
 START = 0x110000  # stands before a text, twice; above all code points
 CHUNK = 1 << 19  # code points handled at once
 FLUSH = 2_000_000  # distinct trigrams a task holds before it passes them on
-BROADCAST_ROWS = 4_000_000  # 12 bytes each on an executor's Python worker
+BROADCAST_ROWS = 4_000_000  # 16 bytes each on an executor's Python worker
 LANGUAGES = 10_000  # one row each, broadcast so that rows of a common language stay where they are
 WIDTH, LEAST, BIN = 8.0, 0.2, 0.002  # band: deviations, least half width and bins of log perplexity
 
@@ -159,7 +159,7 @@ def _arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     for lang in set(names):
         mine = names == lang
         order = np.argsort(keys[mine])
-        out[lang] = keys[mine][order], logs[mine][order].astype(np.float32)
+        out[lang] = keys[mine][order], logs[mine][order]
     return out
 
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
     def run(batches):
         known = tables.value if tables else None
         for batch in batches:
-            langs, counts, logs, keys = batch.column("__llm_lang").to_pylist(), [], [], []
+            langs, counts, logs = batch.column("__llm_lang").to_pylist(), [], []
             for name, value in zip(langs, batch.column("__llm_text")):
                 raw = value.as_buffer().to_pybytes()
                 counts.append(base_counts(raw))
@@ -189,16 +189,17 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
                     n += len(grams)
                 logs.append(-total / n if n else None)
             columns = [pa.array(list(c), pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(logs, pa.float64())], names=[
-                id_col, "__llm_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+            keys = [] if small else [batch.column("__llm_key")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(logs, pa.float64()), *keys], names=out.names)
 
     out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double")
     if small:
         return rows.mapInArrow(run, out)
-    # beyond the bound: trigrams of each text are joined with the model; repeated rows double
-    # both sums of their key and so share their mean
+    # beyond the bound: trigrams of each text are joined with the model; repeated texts of a
+    # language double both sums of their key and so share their mean
     key = F.xxhash64("__llm_text")
     rows = rows.withColumn("__llm_key", key)
+    out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double, __llm_key long")
 
     def grams_of(batches):
         for batch in batches:
@@ -211,12 +212,9 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
 
     grams = rows.select("__llm_lang", "__llm_key", "__llm_text").mapInArrow(grams_of, "lang string, key long, g long, n long")
     means = grams.join(probabilities, ["lang", "g"]).groupBy("lang", "key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"))
-    base = rows.drop("__llm_key").mapInArrow(run, out)
-    keyed = rows.select(id_col, "__llm_lang", "__llm_key").distinct().join(
-        means, (F.col("__llm_lang") == means["lang"]) & (F.col("__llm_key") == means["key"]), "left").groupBy(id_col, "__llm_lang").agg(F.max("mean").alias("mean"))
-    base = base.withColumnRenamed(id_col, "__llm_id").withColumnRenamed("__llm_lang", "__llm_of")
-    joined = base.join(keyed, F.col("__llm_id").eqNullSafe(F.col(id_col)) & (F.col("__llm_of") == F.col("__llm_lang")), "left")
-    return joined.select(F.col("__llm_id").alias(id_col), F.col("__llm_of").alias("__llm_lang"), *(x.split(" ")[0] for x in FEATURES.split(", ")), F.col("mean").alias("log_ppl"))
+    base = rows.mapInArrow(run, out)
+    joined = base.join(means, (F.col("__llm_lang") == means["lang"]) & (F.col("__llm_key") == means["key"]), "left")
+    return joined.select(id_col, "__llm_lang", *(x.split(" ")[0] for x in FEATURES.split(", ")), F.col("mean").alias("log_ppl"))
 
 
 def _median(bins: DataFrame, value: str) -> DataFrame:

@@ -166,6 +166,16 @@ def test_perplexity_by_hand_and_by_join(spark):
     assert mass <= 1 + 1e-9
 
 
+def test_perplexity_of_repeated_ids(spark):
+    """Rows of one id are scored each on its own text, and alike in both ways."""
+    texts = ["abc abd abc", "zzzz q", "abd", None, "", "xyz" * 400, "abc abd abc"]
+    df = spark.createDataFrame([(i, t, "en") for i in (None, 7) for t in texts], "doc_id long, text string, lang string")
+    table = rules.model(rules.count_trigrams(df))
+    near, far = (sorted(((str(r.doc_id), r.n_words, r.word_chars, r.log_ppl) for r in rules.score(df, table, broadcast_rows=n).collect()), key=str) for n in (10**6, 0))
+    assert len(near) == len(far) == 2 * len(texts) and len({r[3] for r in near}) == 5
+    assert all(a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-12) for a, b in zip(near, far))
+
+
 def test_rules_on_odd_rows(spark):
     got = rules.judge(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
