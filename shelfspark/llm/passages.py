@@ -268,9 +268,10 @@ def _release(df: DataFrame) -> None:
 def _filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
     """A bit array, and log2 of its size, in which the bit of every hash that occurs twice is set."""
     twice = materialise(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    bits = min(BITS, max(12, (16 * twice.count()).bit_length()))
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    words = twice.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")).alias("set")).toArrow()
+    bits = min(BITS, max(12, (64 * twice.count()).bit_length()))
+    # the low bits: anchors are least hashes, so their high bits are alike
+    word = F.shiftrightunsigned(F.col("h").bitwiseAND((1 << bits) - 1), 6)
+    words = twice.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("set")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["set"].to_numpy()
     return out.view(np.uint64), bits
@@ -294,7 +295,7 @@ def _windows(docs: DataFrame, id_col: str, text: str, anchors: DataFrame) -> Dat
                     raw = value.as_buffer().to_pybytes()
                     p = Paragraphs(raw)
                     at, h = p.anchors()
-                    slot = h >> np.uint64(64 - bits)
+                    slot = h & np.uint64((1 << bits) - 1)
                     at = at[known[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
                     if not len(at):
                         continue
@@ -325,7 +326,8 @@ def exact(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text: str =
     """
     rows = materialise(_windows(docs, id_col, text, table.select(F.explode("anchors").alias("h"))))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "s", "a", "b")
-    heads = rows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("w", "first")
+    mark = F.xxhash64("id", "th", "s")
+    heads = rows.groupBy("w").agg(F.min(place).alias("first"), F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("w", "first")
     found = rows.join(heads, "w").drop("w")
     w = Window.partitionBy("id", "th").orderBy("s")
     before = F.lag("s").over(w)
