@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.operators.windows import safe
+from shelfspark.operators.windows import running, safe
 
 
 def price_grid(products: DataFrame, steps: int = 21, most: float = 0.3, margin: float = 0.05) -> DataFrame:
@@ -45,11 +45,10 @@ def segments(cells: DataFrame, curve: float = 3.0, parts: int = 5) -> DataFrame:
 
 def allocate(parts: DataFrame, budget: float) -> DataFrame:
     """Greedy fill of one budget by marginal return, which is optimal for concave segments;
-    segments without a gain stay unfunded.  Segments are first summed by exact return, so the
-    running sum covers distinct returns only."""
+    segments without a gain stay unfunded.  Segments are first summed by exact return, and the
+    running sum goes by ranges of returns."""
     levels = parts.filter("marginal > 0").groupBy("marginal").agg(F.sum("width").alias("level"))
-    w = Window.orderBy(F.col("marginal").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cut = levels.withColumn("upto", F.sum("level").over(w)).withColumn("share", F.least(F.greatest((budget - (F.col("upto") - F.col("level"))) / F.col("level"), F.lit(0.0)), F.lit(1.0)))
+    cut = running(levels, "marginal", ["level"]).withColumnRenamed("run_level", "upto").withColumn("share", F.least(F.greatest((budget - (F.col("upto") - F.col("level"))) / F.col("level"), F.lit(0.0)), F.lit(1.0)))
     return parts.join(cut.select("marginal", "share"), "marginal", "left").withColumn("spend", F.col("width") * F.coalesce("share", F.lit(0.0)))
 
 
@@ -74,3 +73,61 @@ def project(levers: DataFrame, economics: DataFrame, days: int = 28) -> DataFram
 
 def compare(projected: DataFrame) -> DataFrame:
     return projected.groupBy("scenario").agg(F.sum("profit").alias("profit"), F.sum("baseline_profit").alias("baseline_profit"), F.sum("revenue").alias("revenue"), F.sum("not_applied").alias("not_applied")).withColumn("gain", F.col("profit") - F.col("baseline_profit"))
+
+
+def cross_effects(pairs: DataFrame, economics: DataFrame) -> DataFrame:
+    """(product_id, related_id, effect, units, margin): of each product its significant pairs
+    (product_a, product_b, other, kind) with the related product's units and unit margin."""
+    related = economics.select(F.col("product_id").alias("product_b"), "units", (F.col("price") - F.col("unit_cost")).alias("margin"))
+    return pairs.filter("kind <> 'unrelated'").join(related, "product_b").select(
+        F.col("product_a").alias("product_id"), F.col("product_b").alias("related_id"), F.col("other").alias("effect"), "units", "margin")
+
+
+def with_cross(grid: DataFrame, effects: DataFrame) -> DataFrame:
+    """The price grid with cross_profit: what a change of price does to the profit on related
+    products, whose units move by (1 + change) ** effect."""
+    moves = grid.select("product_id", "change").join(effects, "product_id")
+    gain = F.col("units") * (F.pow(1 + F.col("change"), F.col("effect")) - 1) * F.col("margin")
+    sums = moves.groupBy("product_id", "change").agg(F.sum(gain).alias("cross_profit"))
+    return grid.join(sums, ["product_id", "change"], "left").fillna(0.0, ["cross_profit"])
+
+
+def assessed(recommended: DataFrame, most: float = 0.3) -> DataFrame:
+    """Recommendations with risk (by the size of the move) and whether it lies on the grid's edge."""
+    size = F.abs("change")
+    risk = F.when(size <= 0.05, "low").when(size <= 0.15, "medium").otherwise("high")
+    return recommended.withColumns({"risk": risk, "at_edge": size >= most - 1e-9})
+
+
+def corners(products: DataFrame, change: float, days: int = 28) -> DataFrame:
+    """(product_id, profit, low, high, confidence, risk) of one price change: the range over the
+    corners of two intervals, of the elasticity (low, high) and of the units (low, high); the
+    confidence is the lesser of its parts; a range that spans zero gain is a high risk."""
+    ends = F.array(*[F.struct(F.col(e).alias("e"), F.col(u).alias("u")) for e in ("elasticity_low", "elasticity_high") for u in ("units_low", "units_high")])
+
+    def profit(e: Column, u: Column) -> Column:
+        return u * F.pow(F.lit(1 + change), e) * (F.col("price") * (1 + change) - F.col("unit_cost")) * days
+
+    held = F.col("units") * (F.col("price") - F.col("unit_cost")) * days
+    rows = products.withColumns({"profit": profit(F.col("elasticity"), F.col("units")), "held": held, "ends": F.transform(ends, lambda x: profit(x["e"], x["u"]))})
+    rows = rows.withColumns({"low": F.array_min("ends"), "high": F.array_max("ends"), "confidence": F.least("elasticity_confidence", "units_confidence")})
+    risk = F.when((F.col("low") < F.col("held")) & (F.col("high") > F.col("held")), "high").when(F.col("confidence") < 0.5, "medium").otherwise("low")
+    return rows.select("product_id", "profit", "low", "high", "confidence", risk.alias("risk"))
+
+
+def realised_spend(sales: DataFrame, events: DataFrame, fixed: float, each: float) -> DataFrame:
+    """(promotion_id, units, spend): units sold on an event's days, and its fixed cost with one
+    for each unit."""
+    span = events.select("promotion_id", "product_id", "store_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
+    return sales.join(span, ["product_id", "store_id", "date"]).groupBy("promotion_id").agg(F.sum("units").alias("units")).withColumn("spend", fixed + each * F.col("units"))
+
+
+def limits(allocated: DataFrame, references: DataFrame, floors: DataFrame, budget: float) -> DataFrame:
+    """(candidate_id, spend, vs_reference, at_limit, floor_missed): spend against the reference, a
+    candidate at its upper limit (twice the reference), floors (candidate_id, least) that the
+    allocation misses; floors of unknown candidates have no spend.  binding: the budget is spent."""
+    rows = allocated.join(references, "candidate_id", "left").join(floors, "candidate_id", "full_outer")
+    total = allocated.agg((F.sum("spend") >= budget - 1e-6).alias("binding"))
+    return rows.crossJoin(F.broadcast(total)).select(
+        "candidate_id", "spend", safe(F.col("spend"), F.col("reference_spend")).alias("vs_reference"), (F.col("spend") >= 2 * F.col("reference_spend") - 1e-6).alias("at_limit"),
+        (F.coalesce("spend", F.lit(0.0)) < F.col("least")).alias("floor_missed"), F.col("reference_spend").isNull().alias("unmatched"), "binding")

@@ -23,9 +23,13 @@ def clustered_error(df: DataFrame, y: str = "log_units", x: str = "log_price") -
     fit = df.groupBy("product_id").agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.avg(x).alias("mx"), F.regr_sxx(y, x).alias("sxx"), F.count(F.lit(1)).alias("n"))
     rows = df.select("product_id", "store_id", F.col(y).alias("y"), F.col(x).alias("x")).join(fit, "product_id")
     score = (F.col("x") - F.col("mx")) * (F.col("y") - F.col("a") - F.col("b") * F.col("x"))
-    groups = rows.groupBy("product_id", "store_id").agg(F.sum(score).alias("g"), F.first("sxx").alias("sxx"), F.first("b").alias("b"), F.first("n").alias("n"))
+    groups = rows.groupBy("product_id", "store_id").agg(F.sum(score).alias("g"), F.sum(score * score).alias("g2"), F.first("sxx").alias("sxx"), F.first("b").alias("b"), F.first("n").alias("n"))
     k = F.count(F.lit(1))
-    return groups.groupBy("product_id").agg(F.first("b").alias("slope"), (F.sqrt(F.sum(F.col("g") * F.col("g")) * k / (k - 1)) / F.first("sxx")).alias("error"), F.first("n").alias("n"))
+    clustered = F.sqrt(F.sum(F.col("g") * F.col("g")) * k / (k - 1)) / F.first("sxx")
+    # under two clusters: heteroscedasticity-robust, from the rows' own scores
+    plain = F.sqrt(F.sum("g2")) / F.first("sxx")
+    return groups.groupBy("product_id").agg(F.first("b").alias("slope"), F.when(k > 1, clustered).otherwise(plain).alias("error"), F.first("n").alias("n")).withColumns(
+        {"low": F.col("slope") - 1.96 * F.col("error"), "high": F.col("slope") + 1.96 * F.col("error")})
 
 
 def fixed_effects(df: DataFrame) -> DataFrame:
@@ -52,32 +56,34 @@ def identification(df: DataFrame, rows: int = 60, prices: int = 5, spread: float
                                         (F.stddev_samp("log_price") < spread).alias("little_variation"))
 
 
-def choose(estimates: dict[str, DataFrame]) -> DataFrame:
-    """Per product the first method, in the order given, that has an estimate."""
-    out = None
-    for rank, (name, df) in enumerate(estimates.items()):
-        part = df.filter("slope is not null").select("product_id", F.lit(name).alias("method"), "slope", F.lit(rank).alias("rank"))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("product_id").orderBy("rank")
-    return out.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "rank")
+def choose(products: DataFrame, panel_fe: DataFrame, randomised: DataFrame) -> DataFrame:
+    """Per product the panel estimate, else that of randomised prices, else none with the reason.
+    Naive and instrumented slopes are never selected."""
+    out = products.select("product_id").distinct().join(panel_fe.select("product_id", F.col("slope").alias("fe")), "product_id", "left").join(
+        randomised.select("product_id", F.col("slope").alias("rd")), "product_id", "left")
+    method = F.when(F.col("fe").isNotNull(), "panel_fe").when(F.col("rd").isNotNull(), "randomised")
+    return out.select("product_id", method.alias("method"), F.coalesce("fe", "rd").alias("slope"), F.when(F.coalesce("fe", "rd").isNull(), "no identified estimate").alias("reason"))
 
 
-def cross(pairs: DataFrame) -> DataFrame:
+def cross(pairs: DataFrame, least: int = 120) -> DataFrame:
     """Two-regressor model of each pair (own and other price) after absorbing stores and
-    dates, by its normal equations; columns ln_demand_a, ln_price_a, ln_price_b."""
+    dates, by its normal equations; columns ln_demand_a, ln_price_a, ln_price_b.  Pairs with
+    under `least` shared rows have no estimate and are left out.  p is that of a large sample
+    (a normal tail), which with `least` rows is within 0.002 of Student's."""
     names = ["ln_demand_a", "ln_price_a", "ln_price_b"]
     unit, day = Window.partitionBy("product_a", "product_b", "store_id"), Window.partitionBy("product_a", "product_b", "date")
     w = pairs.withColumns({f"u_{c}": F.col(c) - F.avg(c).over(unit) for c in names})
     w = w.withColumns({c: F.col(f"u_{c}") - F.avg(f"u_{c}").over(day) for c in names})
     y, p, q = (F.col(c) for c in names)
     s = w.groupBy("product_a", "product_b").agg(F.sum(p * p).alias("pp"), F.sum(q * q).alias("qq"), F.sum(p * q).alias("pq"), F.sum(p * y).alias("py"), F.sum(q * y).alias("qy"), F.count(F.lit(1)).alias("n"))
+    s = s.filter(F.col("n") >= least)
     det = F.col("pp") * F.col("qq") - F.col("pq") * F.col("pq")
     s = s.withColumns({"own": safe(F.col("qq") * F.col("py") - F.col("pq") * F.col("qy"), det), "other": safe(F.col("pp") * F.col("qy") - F.col("pq") * F.col("py"), det)})
     fit = w.select("product_a", "product_b", *names).join(s, ["product_a", "product_b"])
     e = y - F.col("own") * p - F.col("other") * q
     v = (F.col("pp") * q - F.col("pq") * p) * e
     meat = fit.groupBy("product_a", "product_b").agg(F.sum(v * v).alias("meat"))
-    return s.join(meat, ["product_a", "product_b"]).withColumn("t", safe(F.col("other") * det, F.sqrt("meat"))).select("product_a", "product_b", "n", "own", "other", "t")
+    return s.join(meat, ["product_a", "product_b"]).withColumn("t", safe(F.col("other") * det, F.sqrt("meat"))).withColumn("p", two_sided_p(F.col("t"))).select("product_a", "product_b", "n", "own", "other", "t", "p")
 
 
 def two_sided_p(t: Column) -> Column:
@@ -91,8 +97,7 @@ def two_sided_p(t: Column) -> Column:
 def relationships(found: DataFrame, level: float = 0.05, least: float = 0.1, strong: float = 0.3) -> DataFrame:
     """Benjamini-Hochberg within each focal product, then the kind of each pair."""
     focal = Window.partitionBy("product_a")
-    rows = found.withColumn("p", two_sided_p(F.col("t")))
-    rows = rows.withColumns({"k": F.row_number().over(focal.orderBy("p", "product_b")), "m": F.count(F.lit(1)).over(focal)})
+    rows = found.withColumns({"k": F.row_number().over(focal.orderBy("p", "product_b")), "m": F.count(F.lit(1)).over(focal)})
     scaled = F.least(F.col("p") * F.col("m") / F.col("k"), F.lit(1.0))
     rows = rows.withColumn("p_adjusted", F.min(scaled).over(focal.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     none = (F.col("p_adjusted") > level) | (F.abs("other") < least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.windows import KEYS, lagged, rolling
+from shelfspark.operators.windows import KEYS, lagged, rolling, safe, series
 
 
 def seasonal_naive(df: DataFrame) -> DataFrame:
@@ -51,6 +51,30 @@ def cold_start(df: DataFrame, products: DataFrame, stores: DataFrame, days: int
     """Mean units of established rows by category and channel, with the overall mean beside."""
     first = df.groupBy(*KEYS).agg(F.min("date").alias("__first"))
     rows = df.join(first, list(KEYS)).filter(F.datediff("date", "__first") >= days)
-    rows = rows.join(F.broadcast(products.select("product_id", "category")), "product_id").join(F.broadcast(stores.select("store_id", "channel")), "store_id")
+    rows = rows.join(products.select("product_id", "category"), "product_id").join(stores.select("store_id", "channel"), "store_id")
     overall = rows.agg(F.avg("units").alias("overall"))
     return rows.groupBy("category", "channel").agg(F.avg("units").alias("mean_units"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(overall))
+
+
+def baseline_slice(df: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of units and baseline (predicted, lower, upper) over slices: gap, gap by the baseline,
+    gap in revenue, and whether the units lie outside the summed bounds."""
+    gap = F.col("units") - F.col("predicted")
+    outside = (F.sum("units") < F.sum("lower")) | (F.sum("units") > F.sum("upper"))
+    return df.groupBy(*by).agg(F.sum("units").alias("units"), F.sum("predicted").alias("baseline"), F.sum(gap).alias("gap"), safe(F.sum(gap), F.sum("predicted")).alias("gap_pct"),
+                               F.sum(gap * F.col("selling_price")).alias("revenue_gap"), F.coalesce(outside, F.lit(False)).alias("significant"))
+
+
+def baseline_table(sales: DataFrame, products: DataFrame, stores: DataFrame, days: int = 60) -> DataFrame:
+    """Every row with its baseline: the recent mean, or for listings under `days` old the mean of
+    established rows of category and channel, else of all; with gaps in units and revenue."""
+    means = cold_start(sales, products, stores, days)
+    overall = means.agg(F.max("overall").alias("overall"))
+    first = F.min("date").over(series())
+    rows = sales.withColumns({"cold": F.datediff("date", first) < days, "recent": rolling("units", 28)})
+    rows = rows.join(products.select("product_id", "category"), "product_id").join(stores.select("store_id", "channel"), "store_id")
+    rows = rows.join(means.drop("overall", "n"), ["category", "channel"], "left").crossJoin(F.broadcast(overall))
+    fallback = F.coalesce("mean_units", "overall")
+    rows = rows.withColumn("baseline", F.when(F.col("cold"), fallback).otherwise(F.coalesce("recent", fallback)))
+    gap = F.col("units") - F.col("baseline")
+    return rows.withColumns({"gap": gap, "gap_pct": safe(gap, F.col("baseline")), "revenue_gap": gap * F.col("selling_price")})

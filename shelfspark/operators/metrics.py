@@ -48,11 +48,12 @@ def hierarchy(df: DataFrame) -> DataFrame:
     return sums.groupBy(name[F.col("gid").cast("int")].alias("level")).agg(*accuracy())
 
 
-def coherence(df: DataFrame) -> DataFrame:
-    """Bottom-up totals of the predictions against independent daily totals."""
-    up = df.groupBy("date").agg(F.sum("predicted").alias("bottom_up"))
-    own = df.groupBy("date").agg((F.avg("predicted") * F.count("predicted")).alias("top"))
-    return up.join(own, "date").agg(F.max(F.abs(F.col("bottom_up") - F.col("top"))).alias("gap"), F.max(F.abs(safe(F.col("bottom_up") - F.col("top"), F.col("top")))).alias("gap_pct"))
+def coherence(parts: DataFrame, top: DataFrame) -> DataFrame:
+    """Bottom-up daily totals of predictions against an independent forecast of the daily total
+    (date, predicted): days, largest gap and largest gap by the total."""
+    up = parts.groupBy("date").agg(F.sum("predicted").alias("bottom_up"))
+    gap = F.abs(F.col("bottom_up") - F.col("predicted"))
+    return up.join(top.select("date", "predicted"), "date").agg(F.count(F.lit(1)).alias("days"), F.max(gap).alias("gap"), F.max(safe(gap, F.abs("predicted"))).alias("gap_pct"))
 
 
 def zero_profile(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -10,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators import forecast, metrics
 from shelfspark.operators.windows import KEYS
 
 
@@ -90,7 +93,42 @@ def permuted(df: DataFrame, feature: str, seed: str = "7") -> DataFrame:
     return rows.join(dealt, (F.col("date") == F.col("__d")) & (F.col("__r") == F.col("__s"))).withColumn(feature, F.col("__v")).drop("__r", "__d", "__v", "__s")
 
 
-def select_model(scores: DataFrame, within: float = 0.02, naive: str = "seasonal_naive") -> DataFrame:
-    """Of (model, wmape) the lowest error; the naive one wins when it is as good within a margin."""
-    best = scores.agg(F.min_by("model", F.struct("wmape", "model")).alias("best"), F.min("wmape").alias("error"), F.min(F.when(F.col("model") == naive, F.col("wmape"))).alias("naive"))
-    return best.select(F.when(F.col("naive") <= F.col("error") + within, F.lit(naive)).otherwise(F.col("best")).alias("model"), F.least("error", "naive").alias("wmape"))
+def select_model(scores: DataFrame, within: float = 0.02, naive: str = "seasonal_naive", lift: float = 1.2) -> DataFrame:
+    """Of (model, wmape, stockout_lift) the lowest error among models whose predictions on stockout
+    days are at least `lift` times the units sold (one that learnt the censoring drops out); the
+    naive one wins when it is as good within a margin."""
+    best = scores.filter(F.col("stockout_lift") >= lift).agg(
+        F.min_by("model", F.struct("wmape", "model")).alias("best"), F.min("wmape").alias("error"), F.min(F.when(F.col("model") == naive, F.col("wmape"))).alias("naive"))
+    wins = F.coalesce(F.col("naive") <= F.col("error") + within, F.lit(False))
+    return best.select(F.when(wins, F.lit(naive)).otherwise(F.col("best")).alias("model"), F.when(wins, F.col("naive")).otherwise(F.col("error")).alias("wmape"))
+
+
+def fit_evaluate(rows: DataFrame, numeric: list[str], category: list[str], kind: str = "ridge") -> DataFrame:
+    """Split by date, fit on clean training rows, calibrate on clean calibration rows, and score
+    the test rows by role (clean, promoted, stockout): accuracy and coverage of the bounds."""
+    parts = forecast.split(rows.filter("units is not null"))
+    clean = ~F.col("stockout_flag") & ~F.col("promotion_flag")
+    scored = regression(parts.filter((F.col("part") == "train") & clean), parts.filter("part in ('calibration', 'test')"), "units", numeric, category, kind)
+    scored = scored.withColumn("all_", F.lit("all"))
+    widths = metrics.conformal(scored.filter((F.col("part") == "calibration") & clean), "all_", least=1)
+    test = metrics.intervals(scored.filter("part = 'test'"), widths, "all_")
+    role = F.when(F.col("stockout_flag"), "stockout").when(F.col("promotion_flag"), "promoted").otherwise("clean")
+    inside = F.col("units").between(F.col("lower"), F.col("upper")).cast("double")
+    return test.groupBy(role.alias("role")).agg(*metrics.accuracy(), F.avg(inside).alias("empirical"))
+
+
+def search(rows: DataFrame, numeric: list[str], category: list[str], trials: int = 8, gain: float = 0.005, seed: int = 7) -> DataFrame:
+    """(name, reg_param, wmape, kept): ridge penalties drawn at random, scored on the validation
+    window; the default stays unless another gains more than `gain`.  `trials` bounds the fits."""
+    rng = random.Random(seed)
+    parts = forecast.split(rows.filter("units is not null"))
+    train, valid = parts.filter("part = 'train'").persist(), parts.filter("part = 'valid'").persist()
+    found = []
+    for name, penalty in [("default", 1.0), *((f"trial_{i}", 10 ** rng.uniform(-3, 2)) for i in range(trials))]:
+        model = LinearRegression(regParam=penalty, elasticNetParam=0.0, labelCol="label")
+        fitted = Pipeline(stages=[*features(numeric, category), model]).fit(train.withColumn("label", F.col("units").cast("double")))
+        score = fitted.transform(valid).withColumn("predicted", F.greatest("prediction", F.lit(0.0))).agg(*metrics.accuracy()).first()
+        found.append((name, penalty, score.wmape))
+    base, best = found[0][2], min(found, key=lambda x: x[2])
+    kept = best[0] if best[2] < base - gain else "default"
+    return rows.sparkSession.createDataFrame([(n, p, w, n == kept) for n, p, w in found], "name string, reg_param double, wmape double, kept boolean")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.operators.joins import days_to_nearest, washout
-from shelfspark.operators.windows import KEYS, safe
+from shelfspark.operators.joins import attributes, days_to_nearest, first_day_spend, keep_keys, washout
+from shelfspark.operators.windows import KEYS, lagged, rolling, safe
 
 
 def events(days: DataFrame) -> DataFrame:
@@ -136,3 +136,122 @@ def bootstrap(per_series: DataFrame, draws: int = 200, seed: int = 5) -> DataFra
     rows = per_series.select(*KEYS, "num", "den", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", u).withColumn("w", w)
     each = rows.groupBy("draw").agg((F.sum(F.col("w") * F.col("num")) / F.sum(F.col("w") * F.col("den"))).alias("x"))
     return each.agg(F.percentile("x", 0.025).alias("lower"), F.percentile("x", 0.975).alias("upper"), F.count("x").alias("draws"))
+
+
+def covariates(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (roles) with trailing demand as of the anchor date: the event's start for treated
+    rows, the own date for others; and the season's harmonics of the own date."""
+    trailing = trailing_demand(rows)
+    at = rows.join(found.select("promotion_id", F.col("start_date").alias("starts")), "promotion_id", "left")
+    at = at.withColumn("anchor_date", F.when(F.col("role") == "treated", F.col("starts")).otherwise(F.col("date"))).drop("starts")
+    turn = 6.283185307179586 * F.dayofyear("date") / 365.25
+    harmonics = {f"season_{f.__name__}_{k}": f(k * turn) for k in (1, 2) for f in (F.sin, F.cos)}
+    return at.join(trailing.withColumnRenamed("date", "anchor_date"), [*KEYS, "anchor_date"], "left").withColumns(harmonics)
+
+
+def trailing_demand(rows: DataFrame) -> DataFrame:
+    """(keys, date, demand_*): lags and means of the units before each date."""
+    known = {"demand_lag_1": lagged("units", 1), "demand_lag_7": lagged("units", 7), "demand_mean_7": rolling("units", 7), "demand_mean_28": rolling("units", 28), "promo_share_28": rolling("promoted_", 28)}
+    out = rows.withColumn("promoted_", F.col("promotion_flag").cast("int")).withColumns(known)
+    return out.select(*KEYS, "date", *known).dropDuplicates([*KEYS, "date"])
+
+
+def panel(sales: DataFrame, pairs: DataFrame, products: DataFrame, stores: DataFrame, events: DataFrame, start: str, end: str, pad: int = 120) -> DataFrame:
+    """Sales of the sampled pairs from `pad` days before start to end, with product and store
+    attributes and the spend of events on their first day."""
+    days = sales.filter(F.col("date").between(F.date_sub(F.to_date(F.lit(start)), pad), F.to_date(F.lit(end))))
+    out = attributes(attributes(keep_keys(days, pairs), products, "product_id"), stores, "store_id")
+    return first_day_spend(out, events)
+
+
+def with_baseline(df: DataFrame, predicted: DataFrame) -> DataFrame:
+    """df with baseline, the prediction of its date, product and store (null where there is none)."""
+    return df.join(predicted.select(*KEYS, "date", F.col("predicted").alias("baseline")), [*KEYS, "date"], "left")
+
+
+def whole_pool(rows: DataFrame, found: DataFrame, others: DataFrame, window: int = 45, controls: int = 30, treated: int = 5) -> DataFrame:
+    """Treated rows, controls near an event of their own listing, and cross-sectional controls
+    (`others`, rows of never promoted listings); too few of either kind is an error."""
+    near = control_pool(rows, found, window).select(*KEYS, "date", "units", "control_origin")
+    pool = near.unionByName(others.select(*KEYS, "date", "units").withColumn("control_origin", F.lit("cross_sectional")))
+    n = pool.agg(F.count(F.when(F.col("control_origin") == "treated", 1)).alias("t"), F.count(F.when(F.col("control_origin") != "treated", 1)).alias("c")).first()
+    if n.t < treated or n.c < controls:
+        raise ValueError(f"{n.t} treated rows and {n.c} controls: at least {treated} and {controls} are needed")
+    return pool
+
+
+def pseudo_outcome(df: DataFrame, treated: Column, y: str, mu0: str, mu1: str, e: str, tail: float = 0.01) -> DataFrame:
+    """df with pseudo, the doubly robust outcome, cut at its `tail` quantiles on both sides."""
+    t = treated.cast("double")
+    raw = F.col(mu1) - F.col(mu0) + t * (F.col(y) - F.col(mu1)) / F.col(e) - (1 - t) * (F.col(y) - F.col(mu0)) / (1 - F.col(e))
+    rows = df.withColumn("pseudo", raw)
+    edges = rows.agg(F.percentile("pseudo", tail).alias("lo_"), F.percentile("pseudo", 1 - tail).alias("hi_"))
+    return rows.crossJoin(F.broadcast(edges)).withColumn("pseudo", F.least(F.greatest("pseudo", "lo_"), F.col("hi_"))).drop("lo_", "hi_")
+
+
+def segment_cate(df: DataFrame, treated: Column, segment: str, least: int = 30) -> DataFrame:
+    """(segment, n_treated, cate, error): mean effect (pseudo) of a segment; null with under
+    `least` treated rows."""
+    n = F.sum(treated.cast("long"))
+    enough = n >= least
+    return df.groupBy(segment).agg(n.alias("n_treated"), F.when(enough, F.avg("pseudo")).alias("cate"), F.when(enough, F.stddev_samp("pseudo") / F.sqrt(F.count("pseudo"))).alias("error"))
+
+
+def att_of(df: DataFrame, cate: DataFrame, treated: Column, segment: str) -> DataFrame:
+    """Mean of the segments' effects over the treated rows."""
+    return df.filter(treated).join(cate.select(segment, "cate"), segment).agg(F.avg("cate").alias("att"), F.count("cate").alias("n"))
+
+
+def score_promotions(plans: DataFrame, cate: DataFrame, segment: str) -> DataFrame:
+    """Hypothetical promotions (promotion_id, segment, baseline_units, days) with their expected
+    uplift; a segment without an effect is left null and marked."""
+    out = plans.join(cate.select(segment, "cate", "error"), segment, "left")
+    return out.withColumns({"uplift": F.col("cate") * F.col("days"), "low": (F.col("cate") - 1.96 * F.col("error")) * F.col("days"), "high": (F.col("cate") + 1.96 * F.col("error")) * F.col("days"), "unknown": F.col("cate").isNull()})
+
+
+def auuc(curve: DataFrame) -> DataFrame:
+    """Area under the Qini table (bucket, nt, gain) by trapezoids over the treated share, less
+    that of the straight line to its end."""
+    w = Window.orderBy("bucket")  # as many rows as buckets
+    top = curve.agg(F.max("nt").alias("all_"), F.max_by("gain", "bucket").alias("end_"))
+    rows = curve.crossJoin(F.broadcast(top)).withColumn("x", F.col("nt") / F.col("all_"))
+    before_x, before_y = F.coalesce(F.lag("x").over(w), F.lit(0.0)), F.coalesce(F.lag("gain").over(w), F.lit(0.0))
+    rows = rows.withColumn("area", (F.col("x") - before_x) * (F.col("gain") + before_y) / 2)
+    return rows.agg(F.sum("area").alias("area"), (F.sum("area") - F.max("end_") / 2).alias("auuc"))
+
+
+#: Methods from the weakest assumptions to the strongest; the naive one is never selected.
+STRENGTH = ("aipw", "ipw", "differences", "during_vs_before")
+
+
+def select_method(estimates: DataFrame) -> DataFrame:
+    """estimates (method, att, error) with rank and selected: methods without an estimate or not
+    listed drop out, the weakest assumptions win, then the narrower interval."""
+    rank = F.array_position(F.array(*[F.lit(m) for m in STRENGTH]), F.col("method"))
+    rows = estimates.withColumn("rank", F.when((rank > 0) & F.col("att").isNotNull(), rank))
+    best = rows.filter("rank is not null").agg(F.min_by("method", F.struct("rank", F.coalesce("error", F.lit(float("inf"))))).alias("best"))
+    return rows.crossJoin(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("method") == F.col("best"), F.lit(False))).drop("best")
+
+
+def verdicts(diagnostics: DataFrame) -> DataFrame:
+    """(method, verdict, reasons) from (method, worst_smd, trimmed, placebo_ratio, spread): sound,
+    weak with one reason, not credible with more."""
+    tests = {"imbalance": F.col("worst_smd") > 0.1, "little overlap": F.col("trimmed") > 0.1, "placebo effect": F.abs("placebo_ratio") > 0.05, "sensitive": F.col("spread") > 0.25}
+    rows = diagnostics.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()])))
+    n = F.size("reasons")
+    return rows.withColumn("verdict", F.when(n == 0, "sound").when(n == 1, "weak").otherwise("not credible"))
+
+
+def select_events(found: DataFrame, ids: list[str] | None = None, equal: dict[str, str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Events by id, by column values, and wholly inside the dates; an id that does not occur is
+    an error."""
+    out = found
+    if ids:
+        asked = found.sparkSession.createDataFrame([(i,) for i in ids], "promotion_id string")
+        if unknown := [r[0] for r in asked.join(found, "promotion_id", "left_anti").collect()]:  # at most the ids asked for
+            raise ValueError(f"unknown events: {', '.join(sorted(unknown))}")
+        out = out.filter(F.col("promotion_id").isin(*ids))
+    for c, v in (equal or {}).items():
+        out = out.filter(F.col(c) == v)
+    out = out.filter(F.col("start_date") >= F.to_date(F.lit(start))) if start else out
+    return out.filter(F.col("end_date") <= F.to_date(F.lit(end))) if end else out

@@ -170,3 +170,20 @@ def densify(df: DataFrame, zero: tuple[str, ...] = ("units",)) -> DataFrame:
     """One row for every day between a series' first and last; absent measures are zero."""
     grid = df.groupBy(*KEYS).agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
     return grid.join(df, [*KEYS, "date"], "left").fillna(0, list(zero))
+
+
+def running(df: DataFrame, value: str, sums: list[str], ranges: int = 1000) -> DataFrame:
+    """df (one row for each distinct value) with run_<c> of the columns in sums: totals over the
+    rows of greater value and the row itself.
+
+    No task sorts everything: rows are dealt by equal ranges of the value, each range is summed
+    in its own window, and the totals of the ranges (at most `ranges` + 1 rows) are added."""
+    edges = df.agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    at = F.when(F.col("high_") > F.col("low_"), F.floor((F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_")) * ranges)).otherwise(0)
+    rows = df.crossJoin(F.broadcast(edges)).withColumn("range_", F.coalesce(at, F.lit(-1)))
+    totals = rows.groupBy("range_").agg(*[F.sum(c).alias(f"of_{c}") for c in sums])
+    above = Window.orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range_", *[F.coalesce(F.sum(f"of_{c}").over(above), F.lit(0)).alias(f"from_{c}") for c in sums])
+    inside = Window.partitionBy("range_").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(starts), "range_").withColumns({f"run_{c}": F.col(f"from_{c}") + F.sum(c).over(inside) for c in sums})
+    return out.select(*df.columns, *[f"run_{c}" for c in sums])

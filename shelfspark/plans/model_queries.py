@@ -13,16 +13,28 @@ add("e01_e02_naive_ols", lambda t: elasticity.naive(elasticity.clean_panel(t.sal
     f"SELECT product_id, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n FROM {CLEAN} GROUP BY product_id", plain="product_id", whole="n", doubles="slope intercept r2")
 add("e03_clustered_error", lambda t: elasticity.clustered_error(elasticity.clean_panel(t.sales)),
     f"""WITH f AS (SELECT product_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM {CLEAN} GROUP BY ALL),
-        g AS (SELECT product_id, store_id, sum((x - mx) * (y - a - b * x)) AS g, any_value(sxx) AS sxx, any_value(b) AS b, any_value(n) AS n FROM {CLEAN} JOIN f USING (product_id) GROUP BY ALL)
-        SELECT product_id, any_value(b) AS slope, sqrt(sum(g * g) * count(*) / (count(*) - 1)) / any_value(sxx) AS error, any_value(n) AS n FROM g GROUP BY product_id""", plain="product_id", whole="n", doubles="slope error")
+        g AS (SELECT product_id, store_id, sum((x - mx) * (y - a - b * x)) AS g, sum(((x - mx) * (y - a - b * x)) ** 2) AS g2, any_value(sxx) AS sxx, any_value(b) AS b, any_value(n) AS n FROM {CLEAN} JOIN f USING (product_id) GROUP BY ALL)
+        SELECT product_id, any_value(b) AS slope, CASE WHEN count(*) > 1 THEN sqrt(sum(g * g) * count(*) / (count(*) - 1)) ELSE sqrt(sum(g2)) END / any_value(sxx) AS error, any_value(n) AS n FROM g GROUP BY product_id""", plain="product_id", whole="n", doubles="slope error")
 FE = f"""SELECT product_id, sum(u * p) / nullif(sum(p * p), 0) AS slope, count(*) AS n FROM (SELECT product_id, u - avg(u) OVER (PARTITION BY product_id, date) AS u, p - avg(p) OVER (PARTITION BY product_id, date) AS p
   FROM (SELECT *, y - avg(y) OVER (PARTITION BY product_id, store_id) AS u, x - avg(x) OVER (PARTITION BY product_id, store_id) AS p FROM {CLEAN})) GROUP BY product_id"""
 add("e04_fixed_effects", lambda t: elasticity.fixed_effects(elasticity.clean_panel(t.sales)), FE, plain="product_id", whole="n", doubles="slope")
 add("e05_j21_two_stage", lambda t: elasticity.two_stage(elasticity.clean_panel(t.sales).withColumn("log_cost", F.ln(F.greatest(F.col("cost") / F.col("units"), F.lit(1e-6)))), "log_cost"),
-    f"SELECT product_id, covar_samp(y, z) / covar_samp(x, z) AS slope, count(*) AS n FROM (SELECT *, ln(greatest(cost / units, 1e-6)) AS z FROM {CLEAN}) GROUP BY product_id", plain="product_id", whole="n", doubles="slope")
-add("e07_selection", lambda t: elasticity.choose({"panel_fe": elasticity.fixed_effects(elasticity.clean_panel(t.sales)).filter("n >= 1500"), "naive": elasticity.naive(elasticity.clean_panel(t.sales))}),
-    f"""SELECT product_id, CASE WHEN f.slope IS NOT NULL THEN 'panel_fe' ELSE 'naive' END AS method, coalesce(f.slope, n.slope) AS slope
-        FROM (SELECT product_id, regr_slope(y, x) AS slope FROM {CLEAN} GROUP BY ALL) n LEFT JOIN (SELECT * FROM ({FE}) WHERE n >= 1500) f USING (product_id)""", plain="product_id method", doubles="slope")
+    f"""WITH z AS (SELECT *, ln(greatest(cost / units, 1e-6)) AS z FROM {CLEAN}),
+        s AS (SELECT product_id, covar_samp(y, z) / nullif(covar_samp(x, z), 0) AS slope, regr_slope(x, z) AS g, regr_intercept(x, z) AS c, avg(z) AS mz, regr_sxx(x, z) AS szz, count(*) AS n FROM z GROUP BY product_id),
+        m AS (SELECT product_id, sum(((z - mz) * (x - c - g * z)) ** 2) AS meat FROM z JOIN s USING (product_id) GROUP BY product_id)
+        SELECT product_id, slope, g * g * szz * szz / nullif(meat, 0) AS first_f, g * g * szz * szz / nullif(meat, 0) < 10 AS weak, n FROM s JOIN m USING (product_id)""", plain="product_id weak", whole="n", doubles="slope first_f")
+
+
+def _choice(t):
+    rows = elasticity.clean_panel(t.sales)
+    return elasticity.choose(rows, elasticity.fixed_effects(rows).filter("n >= 1500"), elasticity.naive(rows.filter(F.dayofmonth("date") == 1)).filter("n >= 60"))
+
+
+add("e07_selection", _choice,
+    f"""SELECT product_id, CASE WHEN f.slope IS NOT NULL THEN 'panel_fe' WHEN r.slope IS NOT NULL THEN 'randomised' END AS method, coalesce(f.slope, r.slope) AS slope,
+               CASE WHEN coalesce(f.slope, r.slope) IS NULL THEN 'no identified estimate' END AS reason
+        FROM (SELECT DISTINCT product_id FROM {CLEAN}) n LEFT JOIN (SELECT * FROM ({FE}) WHERE n >= 1500) f USING (product_id)
+        LEFT JOIN (SELECT product_id, regr_slope(y, x) AS slope FROM {CLEAN} WHERE day(date) = 1 GROUP BY product_id HAVING count(*) >= 60) r USING (product_id)""", plain="product_id method reason", doubles="slope")
 add("e08_identification", lambda t: elasticity.identification(elasticity.clean_panel(t.sales)),
     f"SELECT product_id, count(*) < 60 AS few_rows, count(DISTINCT floor(selling_price * 10000 + 0.5)) < 5 AS few_prices, stddev_samp(x) < 0.02 AS little_variation FROM {CLEAN} GROUP BY product_id", plain="product_id few_rows few_prices little_variation")
 CROSS = """WITH l AS (SELECT a.product_id AS pa, b.product_id AS pb, a.store_id, a.date, ln(a.units) AS y, ln(a.selling_price) AS p, ln(b.selling_price) AS q
@@ -30,9 +42,9 @@ CROSS = """WITH l AS (SELECT a.product_id AS pa, b.product_id AS pb, a.store_id,
   u AS (SELECT pa, pb, store_id, date, y - avg(y) OVER w AS y, p - avg(p) OVER w AS p, q - avg(q) OVER w AS q FROM l WINDOW w AS (PARTITION BY pa, pb, store_id)),
   d AS (SELECT pa, pb, y - avg(y) OVER w AS y, p - avg(p) OVER w AS p, q - avg(q) OVER w AS q FROM u WINDOW w AS (PARTITION BY pa, pb, date)),
   s AS (SELECT pa, pb, sum(p * p) AS pp, sum(q * q) AS qq, sum(p * q) AS pq, sum(p * y) AS py, sum(q * y) AS qy, count(*) AS n FROM d GROUP BY ALL),
-  b AS (SELECT *, (qq * py - pq * qy) / (pp * qq - pq * pq) AS own, (pp * qy - pq * py) / (pp * qq - pq * pq) AS other, pp * qq - pq * pq AS det FROM s),
+  b AS (SELECT *, (qq * py - pq * qy) / nullif(pp * qq - pq * pq, 0) AS own, (pp * qy - pq * py) / nullif(pp * qq - pq * pq, 0) AS other, pp * qq - pq * pq AS det FROM s WHERE n >= 120),
   m AS (SELECT pa, pb, sum(((pp * q - pq * p) * (y - own * p - other * q)) ** 2) AS meat FROM d JOIN b USING (pa, pb) GROUP BY ALL)
-  SELECT pa AS product_a, pb AS product_b, n, own, other, other * det / sqrt(meat) AS t FROM b JOIN m USING (pa, pb)"""
+  SELECT pa AS product_a, pb AS product_b, n, own, other, other * det / nullif(sqrt(meat), 0) AS t FROM b JOIN m USING (pa, pb)"""
 
 
 def _cross(t):
@@ -178,5 +190,6 @@ add("d06_d08_scenarios", lambda t: decide.compare(_projection(t)),
     f"""WITH l(scenario, lever, change) AS (VALUES {", ".join(f"('{s}', '{v}', {c})" for s, v, c in LEVERS)}),
         p AS (SELECT scenario, product_id, coalesce(sum(CASE lever WHEN 'price' THEN elasticity * ln(1 + change) WHEN 'promotion' THEN ln(1 + change) WHEN 'competitor' THEN cross_elasticity * ln(1 + change) END), 0) AS effect,
                 sum(CASE WHEN lever = 'price' THEN ln(1 + change) ELSE 0 END) AS pe, count(*) FILTER (lever = 'weather') AS na, any_value(units) AS u, any_value(price) AS p, any_value(unit_cost) AS c FROM l, {ECON} GROUP BY ALL)
-        SELECT scenario, sum(u * exp(effect) * (p * exp(pe) - c) * 28) AS profit, sum(u * (p - c) * 28) AS baseline_profit, sum(na) AS not_applied FROM p GROUP BY scenario""",
-    plain="scenario", whole="not_applied", doubles="profit baseline_profit")
+        SELECT scenario, sum(u * exp(effect) * (p * exp(pe) - c) * 28) AS profit, sum(u * (p - c) * 28) AS baseline_profit, sum(u * exp(effect) * p * exp(pe) * 28) AS revenue,
+               sum(u * exp(effect) * (p * exp(pe) - c) * 28) - sum(u * (p - c) * 28) AS gain, sum(na) AS not_applied FROM p GROUP BY scenario""",
+    plain="scenario", whole="not_applied", doubles="profit baseline_profit revenue gain")

@@ -20,11 +20,25 @@ add("w28_time_blocks", lambda t: models.time_blocks(t.sales).groupBy("fold").agg
 add("w29_auc", lambda t: models.auc(_scored(t), F.col("treated"), "e"),
     f"""SELECT sum(p * (coalesce(below, 0) + n / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
         FROM (SELECT least(floor(e * 1000), 999) AS b, sum(treated::INT) AS p, sum((NOT treated)::INT) AS n FROM {SCORED} GROUP BY ALL))""", doubles="auc")
-add("g13_coherence", lambda t: metrics.coherence(forecast.seasonal_naive(t.sales)).select((F.col("gap") < 1e-6).alias("coherent")), "SELECT true AS coherent", plain="coherent")
+
+
+def _coherence(t):
+    """Forecasts of all listings against one of the daily total as a single series."""
+    total = t.sales.groupBy("date").agg(F.sum("units").alias("units")).withColumns({k: F.lit("all") for k in KEYS})
+    return metrics.coherence(forecast.seasonal_naive(t.sales), forecast.seasonal_naive(total))
+
+
+TOTAL = """(SELECT date, greatest(coalesce(0.4 * season + 0.6 * recent, recent, season, mean), 0) AS predicted FROM (
+  SELECT date, lag(units, 364) OVER w AS season, coalesce(avg(units) OVER (ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), avg(units) OVER (ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) AS recent, avg(units) OVER () AS mean
+  FROM (SELECT date, sum(units) AS units FROM sales_daily GROUP BY date) WINDOW w AS (ORDER BY date)))"""
+add("g13_coherence", _coherence,
+    f"SELECT count(*) AS days, max(abs(u.p - o.predicted)) AS gap, max(abs(u.p - o.predicted) / nullif(abs(o.predicted), 0)) AS gap_pct FROM (SELECT date, sum(predicted) AS p FROM {PRED} GROUP BY date) u JOIN {TOTAL} o USING (date)",
+    whole="days", doubles="gap gap_pct")
 add("g14_revenue_impact", lambda t: forecast.seasonal_naive(t.sales).groupBy("store_id").agg(
         F.sum(F.col("units") * F.col("regular_price")).alias("actual"), F.sum(F.col("predicted") * F.col("regular_price")).alias("forecast"),
         safe(F.sum((F.col("predicted") - F.col("units")) * F.col("regular_price")), F.sum(F.col("units") * F.col("regular_price"))).alias("error_pct"), F.count("regular_price").alias("priced")),
-    f"SELECT store_id, sum((predicted - units) * regular_price) / sum(units * regular_price) AS error_pct, count(regular_price) AS priced FROM {PRED} GROUP BY store_id", plain="store_id", whole="priced", doubles="error_pct")
+    f"""SELECT store_id, sum(units * regular_price) AS actual, sum(predicted * regular_price) AS forecast, sum((predicted - units) * regular_price) / sum(units * regular_price) AS error_pct, count(regular_price) AS priced
+        FROM {PRED} GROUP BY store_id""", plain="store_id", whole="priced", doubles="actual forecast error_pct")
 add("g20_unit_economics", lambda t: t.sales.filter("promotion_flag").groupBy("product_id").agg((F.sum("revenue") / F.sum("units")).alias("price"), (F.sum("revenue") / F.sum("units") - F.sum("cost") / F.sum("units")).alias("margin")).withColumn("rate", safe(F.col("margin"), F.col("price"))),
     "SELECT product_id, sum(revenue) / sum(units) AS price, (sum(revenue) - sum(cost)) / sum(units) AS margin, (sum(revenue) - sum(cost)) / sum(revenue) AS rate FROM sales_daily WHERE promotion_flag GROUP BY product_id", plain="product_id", doubles="price margin rate")
 add("g24_stability", lambda t: forecast.folds(forecast.seasonal_naive(t.sales)).groupBy("store_id", "fold").agg(*metrics.accuracy()).groupBy("store_id").agg(F.avg("wmape").alias("mean"), F.stddev_samp("wmape").alias("std"), F.count(F.lit(1)).alias("folds")).withColumn("stable", F.col("std") / F.col("mean") < 0.25),
@@ -33,7 +47,8 @@ add("g24_stability", lambda t: forecast.folds(forecast.seasonal_naive(t.sales)).
 add("g28_spans", lambda t: t("promotions").groupBy("product_id").agg(F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date")), "SELECT product_id, min(start_date) AS start_date, max(end_date) AS end_date FROM promotions GROUP BY product_id", "promotions", plain="product_id start_date end_date")
 add("g29_treatment_warnings", lambda t: joins.promotion_features(t.sales, t("promotions")).agg(
         F.sum((F.col("promotion_flag") & F.col("promotion_id").isNull()).cast("int")).alias("orphan_flags"), F.sum((F.col("promotion_flag") & (F.col("discount_percentage") <= 0)).cast("int")).alias("zero_depth"), F.count_distinct("promotion_id").alias("events")),
-    "SELECT 0 AS orphan_flags, count(*) FILTER (promotion_flag AND discount_percentage <= 0) AS zero_depth, (SELECT count(*) FROM promotions) AS events FROM sales_daily", "sales_daily promotions", whole="orphan_flags zero_depth events")
+    """SELECT count(*) FILTER (s.promotion_flag AND p.promotion_id IS NULL) AS orphan_flags, count(*) FILTER (s.promotion_flag AND s.discount_percentage <= 0) AS zero_depth, count(DISTINCT p.promotion_id) AS events
+       FROM sales_daily s LEFT JOIN promotions p ON p.product_id = s.product_id AND p.store_id = s.store_id AND s.date BETWEEN p.start_date AND p.end_date""", "sales_daily promotions", whole="orphan_flags zero_depth events")
 add("k02_top_pairs", lambda t: t("relationships").filter("relationship_type <> 'unrelated'").orderBy(F.abs("cross_elasticity").desc(), "product_a", "product_b").limit(200),
     "SELECT product_a, product_b, cross_elasticity FROM relationships WHERE relationship_type <> 'unrelated' ORDER BY abs(cross_elasticity) DESC, product_a, product_b LIMIT 200", "relationships", plain="product_a product_b", doubles="cross_elasticity")
 
@@ -81,7 +96,7 @@ add("j22_forecast_vs_actual", _arrived, f"SELECT store_id, {METRICS} FROM {PRED}
 add("j23_roles_scored", lambda t: forecast.seasonal_naive(t.sales).withColumn("role", F.when(F.col("stockout_flag"), "stockout").when(F.col("promotion_flag"), "promoted").otherwise("clean")).groupBy("role").agg(*metrics.accuracy()),
     f"SELECT CASE WHEN stockout_flag THEN 'stockout' WHEN promotion_flag THEN 'promoted' ELSE 'clean' END AS role, {METRICS} FROM {PRED} GROUP BY ALL", plain="role", whole="n", doubles=NUMBERS)
 add("b02_embargo", lambda t: forecast.folds(t.sales).groupBy("fold").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date")).withColumn("train_end", F.date_sub("start_date", 91).cast("string")).withColumn("gap", F.datediff("start_date", F.col("train_end").cast("date"))),
-    """SELECT fold, start_date, end_date, CAST(start_date - 91 AS VARCHAR) AS train_end, 91 AS gap FROM (SELECT 4 - date_diff('day', date, (SELECT max(date) FROM sales_daily)) // 90 AS fold, min(date) AS start_date, max(date) AS end_date
+    """SELECT fold, start_date, end_date, CAST(start_date - 91 AS VARCHAR) AS train_end, date_diff('day', CAST(start_date - 91 AS DATE), start_date) AS gap FROM (SELECT 4 - date_diff('day', date, (SELECT max(date) FROM sales_daily)) // 90 AS fold, min(date) AS start_date, max(date) AS end_date
        FROM sales_daily WHERE date_diff('day', date, (SELECT max(date) FROM sales_daily)) < 360 GROUP BY ALL)""", plain="start_date end_date train_end", whole="fold gap")
 add("b06_uncensored_demand", lambda t: windows.demand_dynamics(windows.demand_lags(scalar.censored(t.sales))),
     f"SELECT date, product_id, store_id, lag(u, 1) {W} AS lag_1, avg(u) {frame(7)} / nullif(avg(u) {frame(28)}, 0) AS momentum FROM (SELECT *, CASE WHEN NOT stockout_flag THEN units END AS u FROM sales_daily)", plain=PANEL, whole="lag_1", doubles="momentum")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import windows
-from shelfspark.plans import catalog, model_queries, more_queries, panel_queries, window_queries  # noqa: F401  registers
+from shelfspark.plans import (  # noqa: F401  registers
+    catalog, check_queries, feature_queries, model_queries, more_queries, panel_queries, uplift_queries, window_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,17 @@ def pick(*names):
     return " ".join(names)
 
 
-add("s05_fingerprint", lambda t: src.fingerprint(t.sales.select("product_id", "store_id", "units")).select("rows"),
-    "SELECT count(*) AS rows FROM sales_daily", whole="rows")
+add("s05_fingerprint", lambda t: src.fingerprint(t.sales.select("product_id", "store_id", "units")),
+    """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat_ws('|', product_id, store_id, CAST(units AS VARCHAR))), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM sales_daily""",
+    plain="digest", whole="rows")
 add("s06_manifest", lambda t: src.manifest({"sales_daily": t.sales, "products": t("products")}),
     """SELECT 'sales_daily' AS table_name, strftime(date, '%Y%m') AS part, count(*) AS rows FROM sales_daily GROUP BY ALL
        UNION ALL SELECT 'products', '', count(*) FROM products""", "sales_daily products", plain="table_name part", whole="rows")
 add("s08_read_only_sql", lambda t: src.read_only(t.spark, "SELECT product_id, sum(units) AS units FROM sales_view GROUP BY product_id", {"sales_view": t.sales}, 1000),
     "SELECT product_id, sum(units) AS units FROM sales_daily GROUP BY product_id", plain="product_id", whole="units")
-add("s10_dataset_version", lambda t: t.sales.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset_version", F.lit("1.0+base@2001-01-01")),
-    "SELECT store_id, count(*) AS rows, '1.0+base@2001-01-01' AS dataset_version FROM sales_daily GROUP BY store_id", plain="store_id dataset_version", whole="rows")
+CONFIG = {"panel": "daily", "keys": ["product_id", "store_id"]}
+add("s10_dataset_version", lambda t: t.sales.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows"), F.max("date").alias("last")).withColumn("dataset_version", F.lit(src.dataset_version("1.0", CONFIG, "2001-01-01"))),
+    """SELECT store_id, count(*) AS rows, max(date) AS last, concat('1.0+', substr(sha256('{"keys": ["product_id", "store_id"], "panel": "daily"}'), 1, 8), '@2001-01-01') AS dataset_version FROM sales_daily GROUP BY store_id""", plain="store_id last dataset_version", whole="rows")
 add("f02_f04_typed_read", lambda t: src.read(t.spark, t.sf_dir, "sales_daily", columns=["date", "product_id", "store_id", "units"], among={"product_id": ["Brand#11", "Brand#12"], "store_id": []}, start="1996-01-01", end="1997-12-31"),
     "SELECT date, product_id, store_id, units FROM sales_daily WHERE product_id IN ('Brand#11', 'Brand#12') AND date BETWEEN '1996-01-01' AND '1997-12-31'", plain=PANEL, whole="units")
 add("f05_overlap", lambda t: src.read(t.spark, t.sf_dir, "promotions", start="1997-03-01", end="1997-03-31"),

@@ -5,9 +5,11 @@ The derivations are portable SQL text, so that Spark and the checking SQL share
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RAW = ("region", "nation", "supplier", "part", "orders", "lineitem", "customer", "events")
@@ -55,9 +57,16 @@ DERIVED = {
                CASE WHEN a.product_id < b.product_id THEN 'substitute' ELSE 'complement' END AS relationship_type,
                CASE WHEN a.product_id < b.product_id THEN 0.2 ELSE -0.1 END AS cross_elasticity
         FROM products a JOIN products b ON a.category = b.category AND a.product_id <> b.product_id""",
+    "dated_products": """
+        SELECT p.product_id, p.category, p.product_status, p.unit_cost, f.launch_date
+        FROM products p JOIN (SELECT product_id, min(date) AS launch_date FROM sales_daily GROUP BY product_id) f ON f.product_id = p.product_id""",
+    "dated_stores": """
+        SELECT s.store_id, s.channel, s.region, f.opening_date
+        FROM stores s JOIN (SELECT store_id, min(date) AS opening_date FROM sales_daily GROUP BY store_id) f ON f.store_id = s.store_id""",
 }
 DERIVED = {n: re.sub(r"round\((.*?), 4\)", r"floor((\1) * 10000 + 0.5001) / 10000", sql) for n, sql in DERIVED.items()}
-NEEDS = {"promotions": ("sales_daily",), "competitor_pricing": ("sales_daily",), "inventory": ("sales_daily",), "relationships": ("products",)}
+NEEDS = {"promotions": ("sales_daily",), "competitor_pricing": ("sales_daily",), "inventory": ("sales_daily",), "relationships": ("products",),
+         "dated_products": ("sales_daily", "products"), "dated_stores": ("sales_daily", "stores")}
 
 
 def _chain(names) -> list[str]:
@@ -94,6 +103,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_days(f"WITH {ctes} SELECT * FROM {name}", r"datediff(\1, \2)"), **{t: raw(spark, sf_dir, t) for t in used})
 
 
+def write_table(df: DataFrame, path: str) -> int:
+    """The whole table as zstd Parquet; returns the number of rows written, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return seen.get["rows"]
+
+
 def write_monthly(df: DataFrame, path: str, date: str = "date") -> None:
     """Month-partitioned Parquet; only the months in df are replaced."""
     (df.withColumn("part", F.date_format(date, "yyyyMM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -114,9 +130,17 @@ def write_sample(df: DataFrame, path: str, key: list[str], rows: int) -> None:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (rows, digest): an order-insensitive content hash of all columns."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("digest"))
+    """One row (rows, digest): an order-insensitive content hash of all columns, the sum of 60
+    bits of each row's md5 over the columns by name, null as a sign of its own."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("digest"))
+
+
+def dataset_version(version: str, config: dict, day: str) -> str:
+    """version+hash@day: the hash of the configuration, whatever the order of its entries."""
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
+    return f"{version}+{digest[:8]}@{day}"
 
 
 def manifest(tables: dict[str, DataFrame], date: str = "date") -> DataFrame:
