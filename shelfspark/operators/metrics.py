@@ -121,7 +121,7 @@ def conformal(df: DataFrame, bucket: str, alpha: float = 0.1, least: int = 100)
 def intervals(df: DataFrame, widths: DataFrame, bucket: str) -> DataFrame:
     w = widths.select(F.col("bucket").alias(bucket), "width")
     half = F.col("width") * F.greatest(F.col("predicted"), F.lit(1.0))
-    return df.join(F.broadcast(w), bucket, "left").withColumns({"lower": F.greatest(F.col("predicted") - half, F.lit(0.0)), "upper": F.col("predicted") + half})
+    return df.join(w, bucket, "left").withColumns({"lower": F.greatest(F.col("predicted") - half, F.lit(0.0)), "upper": F.col("predicted") + half})
 
 
 def coverage(df: DataFrame, nominal: float = 0.9) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import forecast, metrics
-from shelfspark.operators.windows import KEYS
+from shelfspark.operators.windows import KEYS, running
 
 
 def features(numeric: list[str], category: list[str]) -> list:
@@ -59,7 +59,7 @@ def time_blocks(df: DataFrame, k: int = 5) -> DataFrame:
     days = df.select("date").distinct().withColumn("__r", F.dense_rank().over(Window.orderBy("date")) - 1)
     top = days.agg(F.max("__r").alias("__top"))
     days = days.crossJoin(F.broadcast(top)).select("date", F.least(F.floor(F.col("__r") * k / F.greatest("__top", F.lit(1))), F.lit(k - 1)).cast("int").alias("fold"))
-    return df.join(F.broadcast(days), "date")
+    return df.join(days, "date")
 
 
 def cross_fitted(df: DataFrame, treated: Column, y: str, numeric: list[str], category: list[str], k: int = 3) -> DataFrame:
@@ -74,14 +74,14 @@ def cross_fitted(df: DataFrame, treated: Column, y: str, numeric: list[str], cat
     return out
 
 
-def auc(df: DataFrame, positive: Column, score: str, buckets: int = 1000) -> DataFrame:
-    """Area under the curve from counts by score bucket (scores in 0 .. 1); ties inside a
-    bucket count one half."""
-    b = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1))
-    counts = df.groupBy(b.alias("b")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as buckets
-    rows = counts.withColumn("below", F.coalesce(below, F.lit(0)))
-    return rows.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
+    """Area under the curve by ranks, ties counting one half: from counts of distinct scores and
+    running sums over ranges of them."""
+    counts = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
+    totals = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    rows = running(counts, score, ["n"]).crossJoin(F.broadcast(totals))
+    below = F.col("all_n") - F.col("run_n")
+    return rows.agg((F.sum(F.col("p") * (below + F.col("n") / 2)) / (F.first("all_p") * F.first("all_n"))).alias("auc"))
 
 
 def permuted(df: DataFrame, feature: str, seed: str = "7") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.operators.windows import KEYS
+from shelfspark.operators.windows import KEYS, running
 
 
 def order(*key: str, seed: str = "7") -> Column:
@@ -31,6 +31,15 @@ def listings(df: DataFrame, n: int) -> DataFrame:
 def series(df: DataFrame, per_decile: int) -> DataFrame:
     """An equal number of series from each decile of volume."""
     found = df.groupBy(*KEYS).agg(F.sum("units").alias("total_units"))
-    ranked = found.withColumn("decile", F.ntile(10).over(Window.orderBy("total_units", *KEYS)))  # one row a series
+    # ranks from the counts of distinct totals, in ranges, so that no task sorts all series
+    counts = found.groupBy("total_units").agg(F.count(F.lit(1)).alias("n"))
+    all_ = counts.agg(F.sum("n").alias("all_"))
+    below = running(counts, "total_units", ["n"]).crossJoin(F.broadcast(all_)).select("total_units", "all_", (F.col("all_") - F.col("run_n")).alias("below"))
+    same = Window.partitionBy("total_units").orderBy(*KEYS)
+    ranked = found.join(below, "total_units").withColumn("rank", F.col("below") + F.row_number().over(same) - 1)
+    # equal parts, the first `all % 10` of them with one more
+    part, more = F.floor(F.col("all_") / 10), F.col("all_") % 10
+    decile = F.when(F.col("rank") < more * (part + 1), F.floor(F.col("rank") / (part + 1))).otherwise(more + F.floor((F.col("rank") - more * (part + 1)) / part))
+    ranked = ranked.withColumn("decile", (decile + 1).cast("int"))
     w = Window.partitionBy("decile").orderBy(order(*KEYS), *KEYS)
     return ranked.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_decile).drop("__n")

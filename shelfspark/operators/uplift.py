@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.joins import attributes, days_to_nearest, first_day_spend, keep_keys, washout
-from shelfspark.operators.windows import KEYS, lagged, rolling, safe
+from shelfspark.operators.windows import KEYS, lagged, rolling, running, safe
 
 
 def events(days: DataFrame) -> DataFrame:
@@ -117,6 +117,15 @@ def qini(df: DataFrame, treated: Column, score: str, y: str, buckets: int = 10)
     return run.withColumn("gain", F.col("yt") - F.col("yc") * safe(F.col("nt"), F.col("nc")))
 
 
+def qini_curve(df: DataFrame, treated: Column, score: str, y: str) -> DataFrame:
+    """(score, nt, nc, gain): the exact curve, a point for each distinct score from the greatest
+    down; the sums run over ranges of scores."""
+    t = treated.cast("double")
+    sums = df.groupBy(score).agg(F.sum(t).alias("nt"), F.sum(1 - t).alias("nc"), F.sum(t * F.col(y)).alias("yt"), F.sum((1 - t) * F.col(y)).alias("yc"))
+    run = running(sums, score, ["nt", "nc", "yt", "yc"])
+    return run.select(score, F.col("run_nt").alias("nt"), F.col("run_nc").alias("nc"), (F.col("run_yt") - F.col("run_yc") * safe(F.col("run_nt"), F.col("run_nc"))).alias("gain"))
+
+
 def impact(effects: DataFrame) -> DataFrame:
     """Per event: incremental units, revenue and profit, spend and return, best first."""
     rows = effects.withColumns({"incremental_revenue": F.col("incremental_units") * F.col("price"), "incremental_profit": F.col("incremental_units") * (F.col("price") - F.col("unit_cost")) - F.col("promotion_spend")})

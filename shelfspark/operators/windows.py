@@ -85,7 +85,7 @@ def price_features(df: DataFrame) -> DataFrame:
 
 def price_index(df: DataFrame, products: DataFrame) -> DataFrame:
     """Price against the mean of its date and category."""
-    joined = df.join(F.broadcast(products.select("product_id", "category")), "product_id", "left")
+    joined = df.join(products.select("product_id", "category"), "product_id", "left")
     return joined.withColumn("price_index", safe(F.col("selling_price"), F.avg("selling_price").over(Window.partitionBy("date", "category"))))
 
 

@@ -18,8 +18,8 @@ add("w28_time_blocks", lambda t: models.time_blocks(t.sales).groupBy("fold").agg
     """SELECT least((r * 5) // m, 4) AS fold, count(*) AS rows, min(date) AS start_date, max(date) AS end_date FROM sales_daily
        JOIN (SELECT date, r, max(r) OVER () AS m FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS r FROM (SELECT DISTINCT date FROM sales_daily))) USING (date) GROUP BY ALL""", plain="start_date end_date", whole="fold rows")
 add("w29_auc", lambda t: models.auc(_scored(t), F.col("treated"), "e"),
-    f"""SELECT sum(p * (coalesce(below, 0) + n / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
-        FROM (SELECT least(floor(e * 1000), 999) AS b, sum(treated::INT) AS p, sum((NOT treated)::INT) AS n FROM {SCORED} GROUP BY ALL))""", doubles="auc")
+    f"""SELECT sum(p * (coalesce(below, 0) + n / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, sum(n) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+        FROM (SELECT e, sum(treated::INT) AS p, sum((NOT treated)::INT) AS n FROM {SCORED} GROUP BY e))""", doubles="auc")
 
 
 def _coherence(t):

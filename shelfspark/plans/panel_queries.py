@@ -12,7 +12,7 @@ EVENT_ROW = "s.date BETWEEN p.start_date AND p.end_date AND s.product_id = p.pro
 add("j01_j02_attributes", lambda t: joins.attributes(joins.attributes(t.sales, t("products"), "product_id"), t("stores"), "store_id"),
     "SELECT s.date, s.product_id, s.store_id, category, channel, region, base_price FROM sales_daily s LEFT JOIN products USING (product_id) LEFT JOIN stores USING (store_id)",
     "sales_daily products stores", plain=PANEL + " category channel region", doubles="base_price")
-add("j03_calendar_join", lambda t: t.sales.join(F.broadcast(scalar.calendar(t.spark, "1995-01-01", "2002-12-31")), "date", "left").groupBy("season", "holiday_flag").agg(F.sum("units").alias("units")),
+add("j03_calendar_join", lambda t: t.sales.join(scalar.calendar(t.spark, "1995-01-01", "2002-12-31"), "date", "left").groupBy("season", "holiday_flag").agg(F.sum("units").alias("units")),
     """SELECT CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) <= 5 THEN 'summer' WHEN month(date) <= 9 THEN 'monsoon' ELSE 'autumn' END AS season,
               (month(date), day(date)) IN ((1, 26), (8, 15), (10, 2), (12, 25)) AS holiday_flag, sum(units) AS units FROM sales_daily GROUP BY ALL""", plain="season holiday_flag", whole="units")
 add("j05_j06_promotion_features", lambda t: joins.promotion_features(t.sales, t("promotions")),
@@ -76,7 +76,7 @@ add("g02_merged_rollup", lambda t: metrics.merged(metrics.rollup(t.sales.filter(
     "SELECT date_trunc('month', date)::DATE AS date, product_id, store_id, sum(units) AS units, count(*) AS days, avg(selling_price) AS price FROM sales_daily GROUP BY ALL", plain=PANEL, whole="units days", doubles="price")
 add("g05_listings", lambda t: t.sales.filter("date between '1997-01-01' and '1997-12-31'").groupBy("product_id", "store_id").agg(F.count(F.lit(1)).alias("observations"), F.sum("units").alias("units")),
     "SELECT product_id, store_id, count(*) AS observations, sum(units) AS units FROM sales_daily WHERE date BETWEEN '1997-01-01' AND '1997-12-31' GROUP BY ALL", plain="product_id store_id", whole="observations units")
-add("g06_trade_cells", lambda t: t("promotions").join(F.broadcast(t("stores").select("store_id", "region")), "store_id").groupBy("product_id", "region").agg(
+add("g06_trade_cells", lambda t: t("promotions").join(t("stores").select("store_id", "region"), "store_id").groupBy("product_id", "region").agg(
         F.avg("promotion_spend").alias("mean_spend"), F.sum("promotion_spend").alias("total_spend"), F.stddev_samp("promotion_units").alias("sd_units"), F.count(F.lit(1)).alias("events")),
     "SELECT product_id, region, avg(promotion_spend) AS mean_spend, sum(promotion_spend) AS total_spend, stddev_samp(promotion_units) AS sd_units, count(*) AS events FROM promotions JOIN stores USING (store_id) GROUP BY ALL",
     "promotions stores", plain="product_id region", whole="events", doubles="mean_spend total_spend sd_units")

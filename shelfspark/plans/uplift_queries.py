@@ -131,6 +131,10 @@ QINI = f"""(SELECT bucket, sum(nt) OVER w AS nt, sum(yt) OVER w - sum(yc) OVER w
 add("c26_auuc", lambda t: uplift.auuc(uplift.qini(_scored(t), F.col("treated"), "selling_price", "units")),
     f"""WITH c AS (SELECT bucket, nt / max(nt) OVER () AS x, gain, arg_max(gain, bucket) OVER () AS last FROM {QINI})
         SELECT sum(a) AS area, sum(a) - any_value(last) / 2 AS auuc FROM (SELECT last, (x - coalesce(lag(x) OVER (ORDER BY bucket), 0)) * (gain + coalesce(lag(gain) OVER (ORDER BY bucket), 0)) / 2 AS a FROM c)""", doubles="area auuc")
+add("w30_qini_curve", lambda t: uplift.qini_curve(_scored(t), F.col("treated"), "discount_percentage", "units"),
+    f"""SELECT discount_percentage, sum(nt) OVER w AS nt, sum(nc) OVER w AS nc, sum(yt) OVER w - sum(yc) OVER w * sum(nt) OVER w / nullif(sum(nc) OVER w, 0) AS gain
+        FROM (SELECT discount_percentage, sum(treated::INT) AS nt, sum((NOT treated)::INT) AS nc, sum(treated::INT * units) AS yt, sum((NOT treated)::INT * units) AS yc FROM {SCORED} GROUP BY ALL) WINDOW w AS (ORDER BY discount_percentage DESC)""",
+    whole="nt nc", doubles="discount_percentage gain")
 
 
 def _bounded(t):

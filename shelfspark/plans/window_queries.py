@@ -31,7 +31,7 @@ add("f05_overlap", lambda t: src.read(t.spark, t.sf_dir, "promotions", start="19
     "SELECT * FROM promotions WHERE end_date >= '1997-03-01' AND start_date <= '1997-03-31'", "promotions", plain="promotion_id start_date end_date", whole="duration_days", doubles="promotion_spend")
 add("f06_pairs_either_side", lambda t: t("relationships").filter(F.col("product_a").isin("Brand#11") | F.col("product_b").isin("Brand#11")),
     "SELECT * FROM relationships WHERE product_a = 'Brand#11' OR product_b = 'Brand#11'", "relationships", plain="product_a product_b relationship_type", doubles="cross_elasticity")
-add("f07_region_filter", lambda t: t.sales.join(F.broadcast(t("stores").filter("region = 'R1'")), "store_id", "left_semi").groupBy("store_id").agg(F.sum("units").alias("units")),
+add("f07_region_filter", lambda t: t.sales.join(t("stores").filter("region = 'R1'"), "store_id", "left_semi").groupBy("store_id").agg(F.sum("units").alias("units")),
     "SELECT store_id, sum(units) AS units FROM sales_daily WHERE store_id IN (SELECT store_id FROM stores WHERE region = 'R1') GROUP BY store_id", "sales_daily stores", plain="store_id", whole="units")
 add("f09_as_of_observed", lambda t: src.as_of(t.sales, "sales_daily", "1997-06-30").groupBy("product_id").agg(F.max("date").alias("last"), F.count(F.lit(1)).alias("rows")),
     "SELECT product_id, max(date) AS last, count(*) AS rows FROM sales_daily WHERE date <= '1997-06-30' GROUP BY product_id", plain="product_id last", whole="rows")
