@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, utf8
+from .common import added, free, utf8
 
 #: The pretokenizer pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,29 +189,29 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     """docs with a binary column of the text's token ids (little-endian unsigned 32-bit).
 
     A null text encodes as empty.  All other columns pass through, so names may clash with
-    nothing but `ids`, which is replaced.
+    nothing but `ids`, which is replaced.  Null and repeated ids stay.  Empty table: empty.
     """
     return _mapped(docs.drop(ids), text, ids, lambda v, texts: v.encode(texts), path)
 
 
 def _mapped(docs: DataFrame, text: str, out: str, work, path: str | None) -> DataFrame:
     schema = added(docs, f"`{out}` binary")
+    [temp] = free(docs, "llm_text")
 
     def run(batches):
         vocab = vocabulary(path or default_path())
         for batch in batches:
             got = []
-            for part in _portions(batch.column("__llm_text")):
+            for part in _portions(batch.columns[-1]):
                 got += work(vocab, part)
-            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != "__llm_text"]
-            names = [n for n in batch.schema.names if n != "__llm_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.binary())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=[*batch.schema.names[:-1], out])
 
-    return docs.withColumn("__llm_text", utf8(text)).mapInArrow(run, schema)
+    return docs.withColumn(temp, utf8(text)).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
-    """docs with the text that its ids decode to (null ids: empty text)."""
+    """docs with the text that its ids decode to (null ids: empty text); a column named as `text`
+    is replaced, all others pass through.  Empty table: empty."""
     schema = added(docs.drop(text), f"`{text}` string")
 
     def run(batches):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,16 +13,35 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder.  Where none is set, a folder in the working directory of a
+    local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def free(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it."""
+    used = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def identity(text: str) -> Column:
+    """128 bits that stand for a text; null reads as empty."""
+    return F.unhex(F.md5(utf8(text)))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and a lost
     executor costs no recomputation."""

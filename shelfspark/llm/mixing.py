@@ -13,26 +13,36 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OTHER = "*"
-PERIOD, BLOCK, RANGES = 100, 10, 3  # slots, documents, hexadecimal digits of a hash range
+BLOCK, RANGES, MOST_PERIOD = 10, 3, 10_000  # documents, hexadecimal digits of a hash range, slots
 #: Parameters of the registered query: shares of the sources, the rest pooled.
 WEIGHTS = {"src0": 20, "src1": 8, "src2": 8, "src3": 8, "src4": 8, "src5": 4, "src6": 4, "src7": 4, "src8": 4, "src9": 4,
            "src10": 3, "src11": 3, "src12": 3, "src13": 3, "src14": 3}
 REST = 13
 
 
-def quotas(weights: dict[str, float], rest: float, period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of each class in a period: largest remainders, at least one each."""
-    shares = dict(weights) | {OTHER: rest}
-    shares = {k: w for k, w in shares.items() if w > 0}
+def quotas(weights: dict[str, float], rest: float, period: int | None = None) -> dict[str, int]:
+    """Slots of each class in a period.  Without a period the least one in which every share is
+    whole is taken, so the quotas are the target weights exactly; weights that need more than
+    MOST_PERIOD slots are refused.  With a period shares are rounded by largest remainders, to
+    one slot at least, and the deviation bound holds for the rounded shares."""
+    shares = {k: Fraction(w).limit_denominator(10**6) for k, w in (dict(weights) | {OTHER: rest}).items() if w > 0}
     total = sum(shares.values())
+    if period is None:
+        period = math.lcm(*((s / total).denominator for s in shares.values()))
+        if period > MOST_PERIOD:
+            raise ValueError(f"these weights need {period} slots: round them, or give a period")
     if len(shares) > period:
         raise ValueError("a period must have a slot for each source")
-    out = {k: max(1, int(period * w / total)) for k, w in shares.items()}
-    by_rest = sorted(shares, key=lambda k: (-(period * shares[k] / total - int(period * shares[k] / total)), k))
+    exact = {k: period * s / total for k, s in shares.items()}
+    out = {k: max(1, int(x)) for k, x in exact.items()}
+    by_rest = sorted(shares, key=lambda k: (-(exact[k] - int(exact[k])), k))
     i = 0
     while sum(out.values()) < period:
         out[by_rest[i % len(by_rest)]] += 1
@@ -77,28 +87,33 @@ def schedule(spark: SparkSession, quota: dict[str, int]) -> DataFrame:
 
 
 def place(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, id_col: str = "doc_id", source: str = "source",
-          block: int = BLOCK, period: int = PERIOD, prefix: str = "") -> DataFrame:
+          block: int = BLOCK, period: int | None = None, prefix: str = "") -> DataFrame:
     """docs with block, release, deadline, slot and position (from 0, without gaps).
 
     Sources without a weight, null among them, share the class of the rest.  Within a class
     documents are in the order of the md5 of their id (null: of the empty string), then the
-    id; rows that repeat an id follow each other in any order.  A weight of zero is refused
-    (no document may be dropped), and so are more classes than slots.  All columns pass
-    through; `prefix` is put before the new names where they would clash.
+    id, then the md5 of all columns; rows that are equal in all columns follow each other in
+    any order.  A weight of zero is refused (no document may be dropped), and so are more
+    classes than slots.  All columns pass through; `prefix` is put before the new names, and
+    a name that is taken nevertheless is an error.  Empty table: empty.
     """
     spark = docs.sparkSession
     if rest <= 0 or any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
+    if taken := {prefix + n for n in ("block", "release", "deadline", "slot", "position")} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns {sorted(taken)}: give another prefix")
     quota = quotas(weights, rest, period)
-    names = list(quota)
+    period, names = sum(quota.values()), list(quota)
     known = F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit(OTHER))
-    rows = docs.withColumn("__mix_class", known).withColumn("__mix_h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    # the documents' own columns travel as one, so no name can clash
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("doc"), known.alias("__mix_class"), F.col(id_col).alias("__mix_id"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("__mix_h"))
     rows = rows.withColumn("__mix_r", F.substring("__mix_h", 1, RANGES))
     counts = rows.groupBy("__mix_class", "__mix_r").agg(F.count(F.lit(1)).alias("__mix_n"))
     before = F.sum("__mix_n").over(Window.partitionBy("__mix_class").orderBy("__mix_r")) - F.col("__mix_n")
     starts = counts.select(F.col("__mix_class").alias("__mix_c2"), F.col("__mix_r").alias("__mix_r2"), before.alias("__mix_start"))
     # at most 16 ** RANGES rows for each class of the parameters
-    ranked = rows.withColumn("__mix_i", F.row_number().over(Window.partitionBy("__mix_class", "__mix_r").orderBy("__mix_h", id_col)) - 1)
+    ranked = rows.withColumn("__mix_i", F.row_number().over(Window.partitionBy("__mix_class", "__mix_r").orderBy("__mix_h", "__mix_id", F.md5(F.to_json("doc").cast("binary")))) - 1)
     ranked = ranked.join(F.broadcast(starts), (F.col("__mix_class") == F.col("__mix_c2")) & (F.col("__mix_r") == F.col("__mix_r2")))
     rank = (F.col("__mix_start") + F.col("__mix_i")).cast("long")
     totals = counts.groupBy("__mix_class").agg(F.sum("__mix_n").alias("n"))
@@ -117,20 +132,23 @@ def place(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = RE
         part = F.least(F.coalesce(F.col("__mix_all")[name], F.lit(0)), had * block)
         others = part if others is None else others + part
     round_of = F.col("__mix_p") * period
-    keep = [F.col(c) for c in docs.columns]
     return placed.select(
-        *keep, F.col("__mix_b").cast("long").alias(f"{prefix}block"), (round_of + F.col("__mix_rel")).cast("long").alias(f"{prefix}release"),
+        "doc.*", F.col("__mix_b").cast("long").alias(f"{prefix}block"), (round_of + F.col("__mix_rel")).cast("long").alias(f"{prefix}release"),
         (round_of + F.col("__mix_due")).cast("long").alias(f"{prefix}deadline"), (round_of + F.col("__mix_slot")).cast("long").alias(f"{prefix}slot"),
         (others + F.col("__mix_rank") % block).cast("long").alias(f"{prefix}position"))
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, id_col: str = "doc_id", source: str = "source",
-               block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+               block: int = BLOCK, period: int | None = None) -> DataFrame:
     """docs in mixed order, with their own columns: ranges of positions, each sorted, so that
-    files written from it follow one another in the order of the mix."""
-    columns = docs.columns
-    placed = place(docs, weights, rest, id_col, source, block, period, "__mix_")
-    return placed.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*columns)
+    files written from it follow one another in the order of the mix.  Nulls and repeated
+    rows as in `place`.  Empty table: empty."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    placed = place(docs, weights, rest, id_col, source, block, period, prefix)
+    at = f"{prefix}position"
+    return placed.repartitionByRange(at).sortWithinPartitions(at).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def brute_schedule(quota: dict[str, int]) -> list[tuple[int, str, int]]:
@@ -147,7 +165,8 @@ def brute_schedule(quota: dict[str, int]) -> list[tuple[int, str, int]]:
 def oracle() -> str:
     """DuckDB SQL of the registered query's rows."""
     quota = quotas(WEIGHTS, REST)
-    slots = ", ".join(f"({t}, '{c}', {k}, {k * PERIOD // quota[c]}, {-(-(k + 1) * PERIOD // quota[c])}, {quota[c]})" for t, c, k in brute_schedule(quota))
+    period = sum(quota.values())
+    slots = ", ".join(f"({t}, '{c}', {k}, {k * period // quota[c]}, {-(-(k + 1) * period // quota[c])}, {quota[c]})" for t, c, k in brute_schedule(quota))
     listed = ", ".join(f"'{s}'" for s in WEIGHTS)
     return f"""
 WITH slots(slot, class, k, release, deadline, q) AS (VALUES {slots}),
@@ -156,7 +175,7 @@ ranked AS (
   FROM (SELECT doc_id, source, CASE WHEN source IN ({listed}) THEN source ELSE '{OTHER}' END AS class FROM documents)),
 blocks AS (SELECT *, r // {BLOCK} AS block FROM ranked),
 placed AS (
-  SELECT b.doc_id, b.source, b.block, b.r, (b.block // s.q) * {PERIOD} + s.release AS release, (b.block // s.q) * {PERIOD} + s.deadline AS deadline,
-         (b.block // s.q) * {PERIOD} + s.slot AS slot
+  SELECT b.doc_id, b.source, b.block, b.r, (b.block // s.q) * {period} + s.release AS release, (b.block // s.q) * {period} + s.deadline AS deadline,
+         (b.block // s.q) * {period} + s.slot AS slot
   FROM blocks b JOIN slots s ON s.class = b.class AND s.k = b.block % s.q)
 SELECT doc_id, source, block, release, deadline, slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM placed"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, utf8
+from .common import added, free, utf8
 
 #: Fixed values of the transport stream format.
 PACKET = 188
@@ -226,25 +226,33 @@ def padded(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with a binary column `media`: the text's padded bytes as a transport stream.
-    Null text: empty.  Other columns pass through."""
-    schema = added(docs.drop(media), f"`{media}` binary")
+    """docs with a binary column `media` (replaced where it is there): the text's padded bytes as
+    a transport stream.  Null text: empty.  Other columns pass through.  Empty table: empty."""
+    kept = docs.drop(media)
+    schema = added(kept, f"`{media}` binary")
+    [temp] = free(docs, "llm_text")
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            got = [mux(padded(x.as_buffer().to_pybytes())) for x in batch.column("__llm_text")]
-            columns = [c for c, n in zip(batch.columns, names) if n != "__llm_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.binary())], names=[*(n for n in names if n != "__llm_text"), media])
+            got = [mux(padded(x.as_buffer().to_pybytes())) for x in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=[*batch.schema.names[:-1], media])
 
-    return docs.drop(media).withColumn("__llm_text", utf8(text)).mapInArrow(run, schema)
+    return docs.withColumn(temp, utf8(text)).select(*(F.col(f"`{c}`") for c in kept.columns), temp).mapInArrow(run, schema)
 
 
-def read(streams: DataFrame, media: str = "media") -> DataFrame:
+RESULTS = ("payload", "packets", "errors", "pts", "random_access", "problem")
+
+
+def read(streams: DataFrame, media: str = "media", prefix: str = "") -> DataFrame:
     """streams with what its transport streams hold: payload, packets, errors, pts (array of
     ticks), random_access (array of packet numbers) and problem (null, or why it can't be
-    read, with the others null)."""
-    schema = added(streams, "payload binary, packets long, errors long, pts array<long>, random_access array<long>, problem string")
+    read, with the others null).  `prefix` is put before these names; where one is taken
+    nevertheless, that is an error.  Null media: a problem."""
+    names = [prefix + n for n in RESULTS]
+    if taken := {n.lower() for n in names} & {c.lower() for c in streams.columns}:
+        raise ValueError(f"streams has columns {sorted(taken)}: give a prefix")
+    kinds = ("binary", "long", "long", "array<long>", "array<long>", "string")
+    schema = added(streams, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)

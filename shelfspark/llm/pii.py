@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, utf8
+from .common import added, free, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("url", "ssn", "iban", "account", "secret")
@@ -238,12 +238,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         for batch in batches:
             got = []
-            for value in batch.column("__llm_text"):
+            for value in batch.column(1):
                 base, more = spans(value.as_buffer().to_pybytes().decode("utf-8", "replace"))
                 got.append([{"kind": k, "start": a, "end": b} for k, a, b in base + more])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], names=[id_col, "spans"])
 
-    return docs.select(id_col, utf8(text).alias("__llm_text")).mapInArrow(run, schema)
+    return docs.select(id_col, utf8(text).alias(free([id_col], "text")[0])).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
@@ -274,7 +274,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of the rows of `find`: n_email .. n_phone, base_sha256 (of the base
-    spans as kind:start:end, comma-joined), spans (all of them, joined likewise)."""
+    spans as kind:start:end, comma-joined), spans (all of them, joined likewise) and has_pii
+    (any span of any kind).  No spans: zeros, the hash of the empty string, an empty string,
+    false.  Null and repeated ids stay."""
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -284,4 +286,4 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("has_pii"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from . import bpe, lines, mixing, mpegts, passages, pii, quality, rules, simhash, urls
 
 ROOT = str(Path(__file__).resolve().parents[2])
+PACKAGE = "shelfspark-llm.zip"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +21,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _importable(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package from where the driver has it,
-    where nothing else has made it importable."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
+    """Ship the package to the Python workers of this session, where they cannot import it."""
+    context = spark.sparkContext
+    if ROOT in context.environment.get("PYTHONPATH", "").split(":"):
+        return
+    if PACKAGE not in {os.path.basename(f) for f in context.listFiles}:
+        folder = tempfile.mkdtemp()  # the driver's copy: Spark serves it to the executors
+        path = os.path.join(folder, PACKAGE)
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(Path(ROOT, "shelfspark").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        context.addPyFile(path)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table labels pages: the outcome of a page is taken from the row of labels that has its
+    number, which is about a document, so these reputations show the method, not the hosts."""
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
     out = urls.judge(_table(spark, sf_dir, "pages"), outcomes, urls.default_rules(spark))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import added, materialise, small, utf8
+from .common import added, identity, materialise, small, utf8
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50  # per cent
@@ -165,7 +165,13 @@ def _arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, lang, base counts, log_ppl) of every document; log_ppl is null for an empty text."""
+    """(id, __llm_lang, base counts, log_ppl) of every document; log_ppl is null for an empty text.
+
+    Null text: no words, no log_ppl.  Null language: a language of its own.  Null and repeated
+    ids stay, each row scored on its own text.  Up to broadcast_rows trigrams the workers hold
+    the sorted arrays; beyond, the trigrams of each distinct text are joined with the model,
+    with the same result.  Empty table: empty.
+    """
     spark = docs.sparkSession
     probabilities = materialise(probabilities)
     small = probabilities.count() <= broadcast_rows
@@ -197,9 +203,8 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
         return rows.mapInArrow(run, out)
     # beyond the bound: trigrams of each text are joined with the model; repeated texts of a
     # language double both sums of their key and so share their mean
-    key = F.xxhash64("__llm_text")
-    rows = rows.withColumn("__llm_key", key)
-    out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double, __llm_key long")
+    rows = rows.withColumn("__llm_key", identity("__llm_text"))
+    out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double, __llm_key binary")
 
     def grams_of(batches):
         for batch in batches:
@@ -207,10 +212,10 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
                 for grams in trigrams(value.as_buffer().to_pybytes().decode("utf-8", "replace")):
                     g, n = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([batch.column("__llm_lang")[i].as_py()] * len(g)), pa.array([batch.column("__llm_key")[i].as_py()] * len(g), pa.int64()),
+                        pa.array([batch.column("__llm_lang")[i].as_py()] * len(g)), pa.array([batch.column("__llm_key")[i].as_py()] * len(g), pa.binary()),
                         pa.array(g), pa.array(n, pa.int64())], names=["lang", "key", "g", "n"])
 
-    grams = rows.select("__llm_lang", "__llm_key", "__llm_text").mapInArrow(grams_of, "lang string, key long, g long, n long")
+    grams = rows.select("__llm_lang", "__llm_key", "__llm_text").mapInArrow(grams_of, "lang string, key binary, g long, n long")
     means = grams.join(probabilities, ["lang", "g"]).groupBy("lang", "key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"))
     base = rows.mapInArrow(run, out)
     joined = base.join(means, (F.col("__llm_lang") == means["lang"]) & (F.col("__llm_key") == means["key"]), "left")
