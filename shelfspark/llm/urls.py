@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise, small
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as action, host, path; and suffixes of two labels.
 RULES = (
@@ -21,6 +23,8 @@ RULES = (
 TWO_LABELS = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 THRESHOLD, Z = 0.5, 1.6448536269514722
 LEAST_RHO, MOST_RHO = 0.001, 0.5
+#: Hosts (about 200 bytes each) that may be broadcast to the pages; more are joined.
+BROADCAST_ROWS = 500_000
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -69,23 +73,24 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
 
     Returns (host, reputation, lower_bound, upper_bound): posterior mean and its normal
     bounds.  Hosts without labels get their domain's posterior.  No labels at all: one half
-    as the rate of the whole.
+    as the rate of the whole.  Each level's counts are written once, so that the strengths of
+    the levels do not count the hosts again.
     """
     bare, domain, suffix = _levels(F.col("host"))
-    rows = hosts.select("host", "n", "s", bare.alias("bare"), domain.alias("domain"), suffix.alias("suffix"))
-    rows = rows.groupBy("bare", "domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.collect_set("host").alias("hosts"))
-    domains = rows.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    named = materialise(hosts.select("host", "n", "s", bare.alias("bare"), domain.alias("domain"), suffix.alias("suffix")))
+    rows = materialise(named.groupBy("bare", "domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    domains = materialise(rows.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     whole = suffixes.agg(F.coalesce((F.sum("s") + 1) / (F.sum("n") + 2), F.lit(0.5)).alias("parent"))
     suffixes = suffixes.crossJoin(F.broadcast(whole))  # one row
     suffixes = _posterior(suffixes.crossJoin(F.broadcast(_strength(suffixes, "parent"))), "parent").select("suffix", F.col("mean").alias("parent"))
-    domains = domains.join(suffixes, "suffix")
+    domains = materialise(domains.join(suffixes, "suffix"))
     domains = _posterior(domains.crossJoin(F.broadcast(_strength(domains, "parent"))), "parent").select("domain", "suffix", F.col("mean").alias("parent"))
-    rows = rows.join(domains, ["domain", "suffix"])
+    rows = materialise(rows.join(domains, ["domain", "suffix"]))
     rows = _posterior(rows.crossJoin(F.broadcast(_strength(rows, "parent"))), "parent")
     half = z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))
-    return rows.select(F.explode("hosts").alias("host"), F.col("mean").alias("reputation"),
-                       F.greatest(F.col("mean") - half, F.lit(0.0)).alias("lower_bound"), F.least(F.col("mean") + half, F.lit(1.0)).alias("upper_bound"))
+    bounds = rows.select("bare", F.col("mean").alias("reputation"), F.greatest(F.col("mean") - half, F.lit(0.0)).alias("lower_bound"), F.least(F.col("mean") + half, F.lit(1.0)).alias("upper_bound"))
+    return named.select("host", "bare").join(bounds, "bare").drop("bare")
 
 
 def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col: str =
           threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """(id, host, path, rule, verdict, reputation, lower_bound, upper_bound) of every page.
 
-    outcomes: (id, good boolean), several for one id count as good only if all are; null ids
+    outcomes: (id, good boolean) of pages, several for one id count as good only if all are; null ids
     and null outcomes are left out.  Of the rules that fit, the longest (host and path) wins,
     of those the one with the longer host.  Null urls and urls without '://' have an empty
     host, no rule, and the verdict of that host.  Null and repeated ids stay.
@@ -112,7 +117,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col: str =
     marks = outcomes.filter(F.col(id_col).isNotNull() & F.col("good").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col("good").cast("int")).alias("good"))
     counted = rows.join(marks, rows[id_col] == marks["__id"], "left").groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
+    counted = materialise(counted)
     known = reputation(counted, z).join(rules_of_hosts(counted.select("host"), rules), "host", "left")
+    known = small(materialise(known), BROADCAST_ROWS)  # a hot host's pages stay where they are
     joined = rows.join(known.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host"), "left")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
     found = joined.withColumn("__best", best)
