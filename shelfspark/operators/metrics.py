@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.operators.windows import KEYS, safe
+from shelfspark.operators.windows import KEYS, order_statistics, quantiles, safe
 
 
 def rollup(df: DataFrame, unit: str) -> DataFrame:
@@ -57,14 +57,16 @@ def coherence(parts: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def zero_profile(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("units").alias("n"), F.avg((F.col("units") == 0).cast("int")).alias("zero_share"), F.avg((F.col("units") < 5).cast("int")).alias("low_share"),
-                  F.avg("units").alias("mean"), F.percentile("units", 0.5).alias("median"))
+    sums = df.agg(F.count("units").alias("rows"), F.avg((F.col("units") == 0).cast("int")).alias("zero_share"), F.avg((F.col("units") < 5).cast("int")).alias("low_share"),
+                  F.avg("units").alias("mean"))
+    middle = quantiles(df, F.col("units"), [0.5])
+    return sums.join(F.broadcast(middle), how="left").select(F.col("rows").alias("n"), "zero_share", "low_share", "mean", F.col("q")[0].alias("median"))  # one row each
 
 
 def distribution(df: DataFrame, c: str) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), q.alias("q")).select(
-        "n", "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), safe(F.col("std"), F.col("mean")).alias("cv"))
+    sums = df.agg(F.count(c).alias("rows"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
+    return sums.join(F.broadcast(quantiles(df, F.col(c), [0.1, 0.5, 0.9])), how="left").select(  # one row each
+        F.col("rows").alias("n"), "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), safe(F.col("std"), F.col("mean")).alias("cv"))
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -110,12 +112,9 @@ def conformal(df: DataFrame, bucket: str, alpha: float = 0.1, least: int = 100)
     alpha)) / n, 1), interpolated between order statistics."""
     r = F.abs(F.col("units") - F.col("predicted")) / F.greatest(F.col("predicted"), F.lit(1.0))
     rows = df.filter(F.col("units").isNotNull() & F.col("predicted").isNotNull()).select(F.col(bucket).alias("bucket"), r.alias("r"))
-    w = Window.partitionBy("bucket")
-    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("r")) - 1, "n": F.count(F.lit(1)).over(w)})
     at = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0)) * (F.col("n") - 1)
-    near = ranked.withColumn("at", at).filter((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at")))
-    return near.filter(F.col("n") >= least).groupBy("bucket", "n").agg(
-        (F.min("r") + (F.max("r") - F.min("r")) * (F.max("at") - F.floor(F.max("at")))).alias("width"))
+    found = order_statistics(rows, F.col("r"), [at], ["bucket"])
+    return found.filter(F.col("n") >= least).select("bucket", "n", F.col("q")[0].alias("width"))
 
 
 def intervals(df: DataFrame, widths: DataFrame, bucket: str) -> DataFrame:
@@ -137,9 +136,8 @@ def naive_scale(df: DataFrame, season: int = 7) -> DataFrame:
 
 def psi(df: DataFrame, feature: str, split: Column, bins: int = 10, tiny: float = 1e-6, least: int = 50) -> DataFrame:
     """Population stability of a feature between reference rows (split true) and the rest."""
-    levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     rows = df.filter(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("x"), split.alias("ref"))
-    edges = rows.filter("ref").agg(F.array_distinct(F.percentile("x", levels)).alias("edges"))
+    edges = quantiles(rows.filter("ref"), F.col("x"), [i / bins for i in range(1, bins)]).select(F.array_distinct("q").alias("edges"))
     binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x"))))
     counts = binned.groupBy("bin").agg(F.sum(F.col("ref").cast("long")).alias("a"), F.sum((~F.col("ref")).cast("long")).alias("b"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))

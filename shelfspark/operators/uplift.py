@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.joins import attributes, days_to_nearest, first_day_spend, keep_keys, washout
-from shelfspark.operators.windows import KEYS, lagged, rolling, running, safe
+from shelfspark.operators.windows import KEYS, lagged, quantiles, rolling, running, safe
 
 
 def events(days: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_censored(rows: DataFrame) -> DataFrame:
 def att_weights(df: DataFrame, treated: Column, e: str, cap: float = 0.99) -> DataFrame:
     """1 for treated rows, odds for controls, capped at a quantile of the controls' odds."""
     odds = F.col(e) / (1 - F.col(e))
-    edge = df.filter(~treated).agg(F.percentile(odds, cap).alias("__cap"))
+    edge = quantiles(df.filter(~treated), odds, [cap]).select(F.col("q")[0].alias("__cap"))
     return df.crossJoin(F.broadcast(edge)).withColumn("weight", F.when(treated, 1.0).otherwise(F.least(odds, F.col("__cap")))).drop("__cap")
 
 
@@ -108,7 +108,7 @@ def parallel_trends(df: DataFrame, treated: Column, time: str, y: str) -> DataFr
 
 def qini(df: DataFrame, treated: Column, score: str, y: str, buckets: int = 10) -> DataFrame:
     """Incremental outcome by descending score bucket, cumulated over the few buckets."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("edges"))
+    edges = quantiles(df, F.col(score), [i / buckets for i in range(1, buckets)]).select(F.col("q").alias("edges"))
     bucket = buckets - F.size(F.filter("edges", lambda e: e <= F.col(score)))
     t = treated.cast("double")
     sums = df.crossJoin(F.broadcast(edges)).groupBy(bucket.alias("bucket")).agg(F.sum(t).alias("nt"), F.sum(1 - t).alias("nc"), F.sum(t * F.col(y)).alias("yt"), F.sum((1 - t) * F.col(y)).alias("yc"))
@@ -194,7 +194,7 @@ def pseudo_outcome(df: DataFrame, treated: Column, y: str, mu0: str, mu1: str, e
     t = treated.cast("double")
     raw = F.col(mu1) - F.col(mu0) + t * (F.col(y) - F.col(mu1)) / F.col(e) - (1 - t) * (F.col(y) - F.col(mu0)) / (1 - F.col(e))
     rows = df.withColumn("pseudo", raw)
-    edges = rows.agg(F.percentile("pseudo", tail).alias("lo_"), F.percentile("pseudo", 1 - tail).alias("hi_"))
+    edges = quantiles(rows, F.col("pseudo"), [tail, 1 - tail]).select(F.col("q")[0].alias("lo_"), F.col("q")[1].alias("hi_"))
     return rows.crossJoin(F.broadcast(edges)).withColumn("pseudo", F.least(F.greatest("pseudo", "lo_"), F.col("hi_"))).drop("lo_", "hi_")
 
 

@@ -187,3 +187,40 @@ def running(df: DataFrame, value: str, sums: list[str], ranges: int = 1000) -> D
     inside = Window.partitionBy("range_").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(starts), "range_").withColumns({f"run_{c}": F.col(f"from_{c}") + F.sum(c).over(inside) for c in sums})
     return out.select(*df.columns, *[f"run_{c}" for c in sums])
+
+
+def order_statistics(df: DataFrame, value: Column, levels: list[Column], by: list[str], ranges: int = 1000) -> DataFrame:
+    """(by, n, q): of each group its number of rows and an array with, for each level (a column of
+    n: the fractional rank from 0), the value at that rank, interpolated as in an exact percentile.
+
+    Rows are first counted by distinct value; the ranks are found in counts by equal ranges, and
+    only the ranges that hold one are ordered, so no task sorts a group."""
+    rows = df.select(*by, value.cast("double").alias("v_")).filter("v_ is not null").groupBy(*by, "v_").agg(F.count(F.lit(1)).alias("c_"))
+    edges = rows.groupBy(*by).agg(F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.sum("c_").alias("n"))
+    edges = edges.withColumn("at_", F.array(*[level.cast("double") for level in levels]))
+    at = F.when(F.col("high_") > F.col("low_"), F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * ranges)).otherwise(0)
+    join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # without groups: one row
+    rows = join(rows, edges).withColumn("range_", at)
+    counts = rows.groupBy(*by, "range_").agg(F.sum("c_").alias("of_"))
+    before = F.sum("of_").over(Window.partitionBy(*by).orderBy("range_")) - F.col("of_")
+    counts = counts.withColumn("before_", before)  # `ranges` + 1 rows a group
+    held = rows.join(counts, [*by, "range_"])
+
+    def inside(start: str, size: str) -> Column:
+        return F.exists("at_", lambda x: (F.ceil(x) >= F.col(start)) & (F.floor(x) < F.col(start) + F.col(size)))
+
+    held = held.filter(inside("before_", "of_"))
+    run = F.sum("c_").over(Window.partitionBy(*by, "range_").orderBy("v_")) - F.col("c_")
+    held = held.withColumn("from_", F.col("before_") + run).filter(inside("from_", "c_"))
+    found = held.groupBy(*by, "n", "at_").agg(F.collect_list(F.struct("from_", "c_", "v_")).alias("held_"))  # two values a level at most
+
+    def value_at(rank: Column) -> Column:
+        return F.filter("held_", lambda h: (h["from_"] <= rank) & (rank < h["from_"] + h["c_"]))[0]["v_"]
+
+    q = F.transform("at_", lambda x: value_at(F.floor(x)) + (value_at(F.ceil(x)) - value_at(F.floor(x))) * (x - F.floor(x)))
+    return found.select(*by, "n", q.alias("q"))
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float]) -> DataFrame:
+    """One row (n, q) with the exact percentiles of a column; no row for an empty table."""
+    return order_statistics(df, value, [share * (F.col("n") - 1) for share in shares], [])
