@@ -3,17 +3,19 @@
 Fingerprints are 64 bits over word shingles; two link when they differ in at most three
 bits.  Distinct fingerprints are taken once, so a group of exact copies is one row.
 
-1. Half balls.  Three differing bits put at most one of them into one of the two 32-bit
-   halves.  Every fingerprint emits each half and all 32 variants of it within one bit
-   (66 rows); one shuffle on (half, variant) finds which fingerprints have any partner.
-2. Full balls.  Those fingerprints emit variants of all 64 bits: even-parity ones those
-   within two bits (the two flips in one half, which some two of any three bits satisfy),
-   odd-parity ones those within one bit.  Every pair at distance 1 to 3 meets in a variant
-   where one of the two is within one bit.  In a variant's group all rows within one bit
-   are within two of each other, and rows at two bits are within three of those, so the
-   smallest near row is a hub to which every row links: group size minus one edges, no
-   pairs.  The distance of each edge is verified.
-3. Components of the edges.
+1. Filter.  Of four blocks of 16 bits one holds the most of three differing bits; the other
+   48 bits differ in at most two.  Every fingerprint emits, for each block left out, the
+   other 48 bits and all their variants within one bit (196 rows); one shuffle on the variants
+   finds which fingerprints have a partner.  A variant that only two have is verified at once.
+2. Balls of one bit (65 rows) of those fingerprints link all pairs at distance 1 and 2: the
+   members of a variant are within two of each other, so the smallest is a hub to which all
+   others link, group size minus one edges and no pairs.
+3. Pairs at distance 3 matter between components of step 2 only.  Where the filter's variants
+   hold several components, all members emit their balls of one bit, and those that are not of
+   the largest component there add all variants of two bits in one half (two of any three bits
+   lie in one half).  Such a pair meets in a variant at one bit from the one and two from the
+   other; all rows at one bit are of one component, so the smallest is the hub again.
+4. Components of the verified edges.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import added, components, materialise, utf8
+from .common import added, components, free, identity, materialise, utf8
 
 RADIUS = 3
 SHINGLE = 3
@@ -66,41 +68,46 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", out: str
             fps = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in batch.columns[-1]), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], out])
 
-    return docs.select(*keys, utf8(text).alias("__llm_text")).mapInArrow(run, schema)
+    [temp] = free(keys, "llm_text")
+    return docs.select(*keys, utf8(text).alias(temp)).mapInArrow(run, schema)
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+def _mask(*bits: int) -> str:
+    """SQL of a long with these bits set."""
+    return " | ".join(f"shiftleft(1L, {b})" for b in bits) or "0L"
 
 
-def _masks() -> tuple[list[int], list[int]]:
-    ones = [1 << i for i in range(64)]
-    twos = [(1 << i) | (1 << j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
-    return [_signed(m) for m in [0, *ones, *twos]], [_signed(m) for m in ones]
+#: Masks of at most one bit, and of two bits of one half, as SQL.
+ONES = [_mask(), *(_mask(i) for i in range(64))]
+TWOS = [_mask(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
+BLOCK = 16
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct values of fp, enough to connect every pair within RADIUS bits."""
-    distinct = materialise(fps.select("fp").distinct())
-    halves = distinct.select("fp", F.explode(F.array(
-        F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("v")),
-        F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("v")),
-    )).alias("h")).select("fp", "h.half", "h.v")
-    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(32))]])
-    balls = halves.select("fp", "half", "v", F.explode(flips).alias("m")).select(
-        "fp", "half", F.col("v").bitwiseXOR(F.col("m")).alias("v"), (F.col("m") == 0).alias("own")
-    )
-    w = Window.partitionBy("half", "v")
-    near = (
-        balls.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("hit", F.max("own").over(w))
-        .filter("n > 1 and hit").select("fp").distinct()
-    )
-    even, odd = _masks()
-    parity = F.bit_count("fp") % 2
-    masks = F.when(parity == 0, F.array(*[F.lit(m).cast("long") for m in even])).otherwise(
-        F.array(*[F.lit(m).cast("long") for m in odd]))
-    variants = near.select("fp", F.explode(masks).alias("m")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
+def _flips(masks: list[str]) -> Column:
+    return F.expr(f"array({', '.join(masks)})")
+
+
+def _filter_keys() -> Column:
+    """For each block left out: a mark of the block, the mask of the bits that stay and a flip
+    of at most one of those."""
+    rows = []
+    for block in range(64 // BLOCK):
+        out = range(BLOCK * block, BLOCK * (block + 1))
+        stay = f"~({((1 << BLOCK) - 1)}L << {BLOCK * block})"
+        rows += [f"named_struct('mark', {_mask(BLOCK * block)}, 'stay', {stay}, 'flip', {_mask(*bits)})" for bits in ((), *((b,) for b in range(64) if b not in out))]
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _met(fps: DataFrame) -> DataFrame:
+    """fps (fp and more) with each of their variants of 48 bits, v.  The bits left out are zero
+    in it, so the block's mark fits there and the key is one long."""
+    rows = fps.select("*", F.explode(_filter_keys()).alias("k"))
+    v = F.col("fp").bitwiseAND(F.col("k.stay")).bitwiseXOR(F.col("k.flip")).bitwiseXOR(F.col("k.mark"))
+    return rows.select(*fps.columns, v.alias("v"))
+
+
+def _linked(variants: DataFrame) -> DataFrame:
+    """Edges (a, b) from the members (fp, close) of each variant v to the smallest close one."""
     hub = F.min(F.when(F.col("close"), F.col("fp"))).over(Window.partitionBy("v"))
     return (
         variants.withColumn("hub", hub).filter("hub <> fp")
@@ -109,44 +116,67 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) between distinct values of fp, enough to connect every pair within RADIUS bits."""
+    distinct = materialise(fps.select("fp").distinct())
+    w = Window.partitionBy("v")
+    low, high = F.min("fp").over(w), F.max("fp").over(w)
+    met = _met(distinct).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("low", low).withColumn("high", high).filter("n > 1")
+    near = materialise(met.filter((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= RADIUS)).select("fp").distinct())
+    ball = near.select("fp", F.explode(_flips(ONES)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), F.lit(True).alias("close"))
+    edges = materialise(_linked(ball))
+    # what is not linked yet is a component of its own; components are ordered by size, then root
+    named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = materialise(named)
+    sized = named.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("fp", F.struct("size", "root").alias("of"))
+    several = _met(sized).withColumn("most", F.max("of").over(w)).withColumn("least", F.min("of").over(w)).filter("least < most")
+    open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
+    masks = F.when(F.col("wide"), _flips(ONES + TWOS)).otherwise(_flips(ONES))
+    wide = open_.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
+    return edges.union(_linked(wide)).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, component) for every row of docs: the smallest id its fingerprint reaches.
+    """(id, fp, component, root) for every row of docs: the smallest id its fingerprint
+    reaches, and the smallest fingerprint, which names the component whatever ids repeat.
 
     Null texts count as empty (fingerprint zero, linked like any other); rows with a null id
     are kept and take part, but a component is named by its smallest non-null id (null if it
     has none).  Repeated rows and ids stay, each with its result.  Empty table: empty result.
     """
-    fps = materialise(fingerprints(docs, [id_col], text))
+    return _components(materialise(fingerprints(docs, [id_col], text)), id_col)
+
+
+def _components(fps: DataFrame, id_col: str) -> DataFrame:
     roots = components(links(fps))
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     named = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return fps.join(named, "fp").select(id_col, "fp", "component")
+    # partial minima first, so that a large component's rows do not meet in one task
+    component = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(component, "root").select("fp", "component", "root")
+    return fps.join(named, "fp").select(*fps.columns, "component", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row of each near-duplicate group, all columns kept.
 
     The row with the smallest id stays; a null id comes after all others, and among rows of
-    one id the one with the smallest fingerprint, text and then any row.
+    one id the one with the smallest fingerprint, then text hash.  Groups are told apart by
+    their fingerprints, so rows of unlike texts that share an id are all kept.  Rows that
+    repeat id and text are one document: any one of them stays.
     """
-    found = near_duplicates(docs.select(id_col, text), id_col, text)
-    # one winner row for each component: smallest id, then smallest fingerprint
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("fp"))
-    part = F.coalesce(F.col("component"), F.col("fp"))
-    named = F.col("component").isNotNull()
-    win = found.groupBy(named.alias("named"), part.alias("part")).agg(F.min(order).alias("w")).select(
-        F.col("w.i").alias("__llm_id"), F.col("w.fp").alias("__llm_fp")).distinct()
-    ids = win.groupBy("__llm_id").agg(F.collect_set("__llm_fp").alias("__llm_fps"))
-    # an id normally occurs once; where it repeats, the fingerprint tells its rows apart
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["__llm_id"]), "left_semi")
-    many = found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__llm_id"))
-    sure = kept.join(many, kept[id_col].eqNullSafe(many["__llm_id"]), "left_anti")
-    doubt = kept.join(many, kept[id_col].eqNullSafe(many["__llm_id"]), "left_semi")
-    marked = fingerprints(doubt, doubt.columns, text, "__llm_fp")
-    w = Window.partitionBy(F.col(id_col), F.col("__llm_fp")).orderBy(F.col(text))
-    marked = marked.join(win, marked[id_col].eqNullSafe(win["__llm_id"]) & (marked["__llm_fp"] == win["__llm_fp"]), "left_semi")
-    marked = marked.withColumn("__llm_rn", F.row_number().over(w)).filter("__llm_rn = 1")
-    return sure.unionByName(marked.drop("__llm_fp", "__llm_rn"))
-
+    rows = docs.select(F.col(id_col).alias("id"), identity(text).alias("key"), F.col(text).alias("text"))
+    found = _components(materialise(fingerprints(rows, ["id", "key"], "text")), "id")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "key")
+    winners = found.groupBy("root").agg(F.min(order).alias("w"))
+    key, wid, wkey = free(docs, "llm_key", "llm_id", "llm_win")
+    win = materialise(winners.select(F.col("w.id").alias(wid), F.col("w.key").alias(wkey)))
+    marked = docs.withColumn(key, identity(text))
+    here = F.col(id_col).eqNullSafe(F.col(wid)) & (F.col(key) == F.col(wkey))
+    kept = marked.join(win, here, "left_semi")
+    again = found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias(wid), F.col("key").alias(wkey))
+    again = materialise(again)
+    once = kept.join(again, here, "left_anti")
+    one = kept.join(again, here, "left_semi").dropDuplicates([id_col, key])
+    return once.unionByName(one).drop(key)
