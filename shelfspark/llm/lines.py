@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are near-duplicates when their edit distance is at most TAU and at most a tenth of
-the longer one's characters (so short lines must be equal).  Lines of only white space are
+Two lines are near-duplicates when they are equal, or when both have LEAST characters or more
+and their edit distance is at most TAU and at most a tenth of the longer one's characters.  Lines of only white space are
 never duplicates.  A line split into TAU + 1 segments keeps at least one of them unchanged
 under TAU edits, so:
 
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small
+from .common import components, free, identity, materialise, small
 
 TAU = 2
 LEAST = 10  # characters for each allowed edit
@@ -54,21 +54,21 @@ def _parities(line: str) -> Column:
     return out
 
 
-def _keys(tau: int) -> Column:
-    """All keys of a line (columns line, n); a line of TAU + 1 characters more than TAU has
-    every substring that is asked for."""
-    keys = []
-    for i in range(tau + 1):
-        first, _ = _segment(F.col("n") - tau, i, tau)
-        low = F.greatest(first - i, F.lit(1))  # where the region of all this segment's substrings starts
-        _, longest = _segment(F.col("n"), i, tau)
-        region = F.col("line").substr(low, longest + 3 * tau + 2)
-        for less in range(tau + 1):
-            n = F.col("n") - less
-            start, size = _segment(n, i, tau)
-            for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                keys.append(F.xxhash64(F.lit(i), n.cast("int"), region.substr((start + move - low + 1).cast("int"), size)))
-    return F.array(*keys)
+def _keyed(rows: DataFrame, tau: int) -> DataFrame:
+    """(lid, key): all keys of each line (lid, line, n).
+
+    The substrings that can be an unchanged segment i are those of a line that is `less`
+    characters shorter, at `move` characters from where that line has it.  They are listed
+    once and the line is cut for one after the other: one array of all keys would be too
+    large a piece of generated code for the JVM to compile.
+    """
+    listed = [f"named_struct('i', {i}, 'less', {less}, 'move', {move})" for i in range(tau + 1) for less in range(tau + 1)
+              for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)]
+    probes = rows.select("lid", "line", "n", F.inline(F.expr(f"array({', '.join(listed)})"))).withColumn("m", F.col("n") - F.col("less"))
+    base, first = F.expr(f"cast(m div {tau + 1} AS int)"), tau + 1 - F.col("m") % (tau + 1)  # the last segments have one character more
+    start = F.col("i") * base + F.greatest(F.col("i") - first, F.lit(0)) + 1 + F.col("move")
+    size = base + (F.col("i") >= first).cast("int")
+    return probes.select("lid", F.xxhash64("i", "m", F.col("line").substr(start, size)).alias("key"))
 
 
 def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
@@ -105,7 +105,7 @@ def edit_distance(a: str, b: str, tau: int = TAU) -> Column:
 
 def members(rows: DataFrame, tau: int = TAU) -> DataFrame:
     """(key, lid) of keys that two or more lines share; rows: (lid, line, n), each line once."""
-    keyed = rows.select("lid", F.explode(_keys(tau)).alias("key"))
+    keyed = _keyed(rows, tau)
     w = Window.partitionBy("key")
     shared = keyed.withColumn("low", F.min("lid").over(w)).withColumn("high", F.max("lid").over(w)).filter("low <> high")
     return shared.select("key", "lid").distinct()
@@ -131,7 +131,9 @@ def links(found: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # th is made before the lines are, once a text; in one select Spark would make it for each line
+    rows = docs.select(F.col(id_col).alias("id"), identity(text).alias("th"), F.col(text).alias("text"))
+    rows = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
 
 
@@ -145,18 +147,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: in
     """
     lines = _lines(docs, id_col, text)
     digest, lid = F.unhex(F.md5(F.col("line").cast("binary"))), F.xxhash64("line")
-    places = materialise(lines.select("id", "th", "line_no", digest.alias("digest"), lid.alias("lid"), F.length("line").alias("n")))
+    # texts are split once; what needs only keys does not read the lines' column
+    places = materialise(lines.select("id", "th", "line_no", "line", digest.alias("digest"), lid.alias("lid"), F.length("line").alias("n")))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line_no")
     by_line = materialise(places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("lid").alias("lid"), F.min("n").alias("n")))
     # each distinct line once, from its first place: lines of one place need no look-up
     again = materialise(by_line.filter((F.col("first") != F.col("last")) & (F.col("n") >= LEAST)).select(
-        F.col("lid").alias("again"), F.col("first.id").alias("fi"), F.col("first.th").alias("ft"), F.col("first.line_no").alias("fl")))
-    long = lines.select("id", "th", "line_no", "line", lid.alias("lid"), F.length("line").alias("n")).filter(F.col("n") >= LEAST)
-    once = long.join(small(again, broadcast_rows), F.col("lid") == F.col("again"), "left").filter(
+        F.col("digest").alias("again"), F.col("first.id").alias("fi"), F.col("first.th").alias("ft"), F.col("first.line_no").alias("fl")))
+    long = places.filter(F.col("n") >= LEAST)
+    once = long.join(small(again, broadcast_rows), F.col("digest") == F.col("again"), "left").filter(
         F.col("again").isNull() | (F.col("fi").eqNullSafe(F.col("id")) & (F.col("ft") == F.col("th")) & (F.col("fl") == F.col("line_no"))))
     found = materialise(members(once.select("lid", "line", "n"), tau))
     need = materialise(found.select(F.col("lid").alias("need")).distinct())
-    texts = long.join(small(need, broadcast_rows), F.col("lid") == F.col("need"), "left_semi").select("lid", digest.alias("node"), "line").distinct()
+    texts = long.join(small(need, broadcast_rows), F.col("lid") == F.col("need"), "left_semi").select("lid", F.col("digest").alias("node"), "line").distinct()
     roots = components(links(found, texts, tau))
     placed = by_line.join(roots, by_line["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("head"), "first", "last")
     heads = placed.groupBy("head").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first") != F.col("last")).select("head", "first")
@@ -169,12 +172,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: in
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
     """docs with the removed lines taken out of their texts; every row and column stays.  A
     null text stays null; a text whose lines all repeat becomes empty."""
-    gone = classes(docs.select(id_col, text), id_col, text, tau).filter("removed").groupBy(F.col(id_col).alias("__llm_id"), F.col("th").alias("__llm_th")).agg(
-        F.collect_set("line_no").alias("__llm_gone"))
-    marked = docs.withColumn("__llm_key", F.xxhash64(text))
-    joined = marked.join(gone, marked[id_col].eqNullSafe(gone["__llm_id"]) & (F.col("__llm_key") == F.col("__llm_th")), "left")
+    wid, wth, gone_col, key = free(docs, "llm_id", "llm_th", "llm_gone", "llm_key")
+    gone = classes(docs.select(id_col, text), id_col, text, tau).filter("removed").groupBy(F.col(id_col).alias(wid), F.col("th").alias(wth)).agg(
+        F.collect_set("line_no").alias(gone_col))
+    joined = docs.withColumn(key, identity(text)).join(gone, F.col(id_col).eqNullSafe(F.col(wid)) & (F.col(key) == F.col(wth)), "left")
     parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__llm_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_col))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    new = F.when(F.col("__llm_gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    new = F.when(F.col(gone_col).isNull(), F.col(text)).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
