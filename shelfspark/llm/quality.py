@@ -200,7 +200,8 @@ def rate(docs: DataFrame, model: Ordinal, good: int, text: str = "text", grade:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """(id, expected_grade, tail_probability, kept) of every document, from labels (id,
     quality, toxic).  kept: P(good) >= least.  Without a usable label all documents are kept;
-    labels of one grade only give every document that grade.  Null text: empty.  Null and
+    labels of one grade only, or with no word that LEAST_DOCS of their texts share, give every
+    document the labels' shares of the grades.  Null text: empty.  Null and
     repeated ids stay, each row rated on its own text."""
     return rate(docs.select(id_col, text), _trained(docs, labels, id_col, text, sample), 2, text).select(
         id_col, "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))

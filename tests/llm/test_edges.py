@@ -20,7 +20,7 @@ def clashing(spark, texts):
 
 def test_names_that_clash_pass_through(spark):
     df = clashing(spark, ["a line of text here\nanother line of text", None, "a line of text here", ""])
-    marks = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    marks = spark.createDataFrame([(0, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")  # good: all are kept
     for out in (simhash.keep_one(df), lines.clean(df), mixing.interleave(df), quality.select(df, marks), bpe.encode(df).drop("ids"), mpegts.store(df).drop("media"), pii.redact(df)):
         assert out.columns == df.columns
         assert {tuple(r[c] for c in CLASH) for r in out.collect()} == {tuple(range(len(CLASH)))}
