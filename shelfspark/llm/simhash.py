@@ -14,7 +14,8 @@ bits.  Distinct fingerprints are taken once, so a group of exact copies is one r
    hold several components, all members emit their balls of one bit, and those that are not of
    the largest component there add all variants of two bits in one half (two of any three bits
    lie in one half).  Such a pair meets in a variant at one bit from the one and two from the
-   other; all rows at one bit are of one component, so the smallest is the hub again.
+   other; all rows at one bit are of one component, so the smallest is the hub again.  The
+   pairs of bits are taken in ROUNDS, and what has joined the components it met drops out.
 4. Components of the verified edges.
 """
 
@@ -80,6 +81,8 @@ def _mask(*bits: int) -> str:
 #: Masks of at most one bit, and of two bits of one half, as SQL.
 ONES = [_mask(), *(_mask(i) for i in range(64))]
 TWOS = [_mask(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
+#: The pairs in rounds: most of a dense group's components join in the first, few are left for the rest.
+ROUNDS = [TWOS[0::16], [m for i, m in enumerate(TWOS) if i % 16 in (4, 8, 12)], [m for i, m in enumerate(TWOS) if i % 4]]
 BLOCK = 16
 
 
@@ -125,15 +128,22 @@ def links(fps: DataFrame) -> DataFrame:
     near = materialise(met.filter((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= RADIUS)).select("fp").distinct())
     ball = near.select("fp", F.explode(_flips(ONES)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), F.lit(True).alias("close"))
     edges = materialise(_linked(ball))
-    # what is not linked yet is a component of its own; components are ordered by size, then root
-    named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named)
-    sized = named.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("fp", F.struct("size", "root").alias("of"))
-    several = _met(sized).withColumn("most", F.max("of").over(w)).withColumn("least", F.min("of").over(w)).filter("least < most")
-    open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
-    masks = F.when(F.col("wide"), _flips(ONES + TWOS)).otherwise(_flips(ONES))
-    wide = open_.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
-    return edges.union(_linked(wide)).distinct()
+    open_ = near
+    for pairs in ROUNDS:
+        # what is not linked yet is a component of its own; components are ordered by size, then root
+        named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        named = materialise(named)
+        sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        # components only grow, so what met no other before meets none now
+        sized = named.join(open_.select("fp"), "fp", "left_semi").join(sizes, "root").select("fp", F.struct("size", "root").alias("of"))
+        several = _met(sized).withColumn("most", F.max("of").over(w)).withColumn("least", F.min("of").over(w)).filter("least < most")
+        open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
+        if open_.isEmpty():
+            break
+        masks = F.when(F.col("wide"), _flips(ONES + pairs)).otherwise(_flips(ONES))
+        wide = open_.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
+        edges = materialise(edges.union(_linked(wide)).distinct())
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
