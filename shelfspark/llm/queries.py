@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, mpegts, passages, pii, quality, rules, simhash, urls
+from . import bpe, lines, mixing, mpegts, packing, passages, pii, quality, rules, runs, simhash, urls, vectors
 
 ROOT = str(Path(__file__).resolve().parents[2])
 PACKAGE = "shelfspark-llm.zip"
@@ -82,6 +82,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digests(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
 def with_path(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _importable(spark)
@@ -91,7 +103,8 @@ def with_path(query):
 
 
 QUERIES = {f.__name__: with_path(f) for f in (
-    op1_url_filter, op2_quality_classifier, op3_mixing, op4_pii, op5_simhash, op6_substring_dedup, op7_line_dedup, op8_mpegts, op9_bpe, op10_quality_rules)}
+    op1_url_filter, op2_quality_classifier, op3_mixing, op4_pii, op5_simhash, op6_substring_dedup, op7_line_dedup, op8_mpegts, op9_bpe, op10_quality_rules,
+    op11_vector_codes, op12_packing, op13_periodic_runs)}
 
 
 def _url_sql() -> str:
@@ -149,4 +162,26 @@ named AS (SELECT doc_id, line_no, min((doc_id, line_no)) OVER (PARTITION BY clas
 SELECT doc_id, line_no::INTEGER AS line_no, head[1] AS class_doc_id, head[2]::INTEGER AS class_line_no, (doc_id, line_no) <> head AS removed
 FROM named WHERE size > 1"""
 
-ORACLES = {"op7_line_dedup": LINE_SQL, "op1_url_filter": _url_sql(), "op3_mixing": mixing.oracle()}
+
+def _vector_sql() -> str:
+    rounds = "".join(f"""
+d{r} AS MATERIALIZED (SELECT p.row, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d FROM parts p JOIN b{r} b USING (part, i) GROUP BY ALL),
+a{r} AS MATERIALIZED (SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{r} GROUP BY row, part),
+m{r} AS (SELECT part, entry, i, sum(x)::BIGINT AS s, count(*) AS n FROM parts JOIN a{r} USING (row, part) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM b{r} LEFT JOIN m{r} USING (part, entry, i)),"""
+                     for r in range(vectors.ROUNDS + 1))
+    last = vectors.ROUNDS
+    return f"""
+WITH good AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT greatest(1, ceil(max(len(e)) / {vectors.PARTS})::BIGINT) AS w FROM good),
+flat AS (SELECT row, unnest(range(w * {vectors.PARTS})) AS k, e, w FROM good, size),
+parts AS MATERIALIZED (SELECT row, k // w AS part, k % w AS i, floor(coalesce(e[k + 1], 0)::DOUBLE * {vectors.SCALE})::BIGINT AS x FROM flat),
+b0 AS (SELECT part, row AS entry, i, x FROM parts WHERE row < {vectors.ENTRIES}),{rounds}
+book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{last}),
+codes AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM good JOIN codes USING (row), book"""
+
+
+ORACLES = {"op7_line_dedup": LINE_SQL, "op1_url_filter": _url_sql(), "op3_mixing": mixing.oracle(), "op11_vector_codes": _vector_sql()}
