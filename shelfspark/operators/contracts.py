@@ -66,13 +66,20 @@ def validate(df: DataFrame, contract: Contract) -> DataFrame:
 
 def primary_key(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """(table_name, problem, failing): key columns that are absent, rows with a null component,
-    rows beyond the first of each key."""
+    rows beyond the first of each key.  Where no key column is there, only those are reported."""
     there = [c for c in key if c in df.columns]
+    if not there:
+        one = df.sparkSession.range(1).withColumns({"nulls": F.lit(0), "again": F.lit(0)})
+        return _key_rows(one, table, len(key))
     null = reduce(Column.__or__, [F.col(c).isNull() for c in there], F.lit(False))
     groups = df.withColumn("null_", null).groupBy(*there).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("null_").cast("int")).alias("nulls"))
     sums = groups.agg(F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("again"))
+    return _key_rows(sums, table, len(key) - len(there))
+
+
+def _key_rows(sums: DataFrame, table: str, absent: int) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(n).alias("problem"), v.cast("long").alias("failing")) for n, v in
-                     (("absent_columns", F.lit(len(key) - len(there))), ("null_component", F.col("nulls")), ("duplicate_rows", F.col("again")))])
+                     (("absent_columns", F.lit(absent)), ("null_component", F.col("nulls")), ("duplicate_rows", F.col("again")))])
     return sums.select(F.lit(table).alias("table_name"), F.inline(rows))
 
 
@@ -94,15 +101,18 @@ def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)))
 
 
+def surplus(df: DataFrame, key: str) -> DataFrame:
+    """One row: the rows beyond the first of each key; rows without a key are all surplus."""
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)))
+
+
 def dimensions(products: DataFrame, stores: DataFrame, calendar: DataFrame, pairs: DataFrame) -> DataFrame:
     """Keys unique, calendar contiguous and with festivals, no internal columns, substitutes
     with a positive cross effect and complements with a negative one."""
-    def again(df: DataFrame, key: str) -> DataFrame:
-        return _count(df.groupBy(key).count().filter("count > 1"))
-
     internal = sum(c.startswith("_") for df in (products, stores, calendar, pairs) for c in df.columns)
     return _checks("dimensions", {
-        "product_key": again(products, "product_id"), "store_key": again(stores, "store_id"), "calendar_gaps": _count(gaps(calendar.select("date"))),
+        "product_key": surplus(products, "product_id"), "store_key": surplus(stores, "store_id"), "calendar_gaps": _count(gaps(calendar.select("date"))),
         "no_festivals": calendar.agg((F.count(F.when(F.col("festival_flag"), 1)) == 0).cast("long")), "internal_columns": calendar.agg(F.max(F.lit(internal))),
         "substitute_sign": _count(pairs.filter("relationship_type = 'substitute' and cross_elasticity <= 0")),
         "complement_sign": _count(pairs.filter("relationship_type = 'complement' and cross_elasticity >= 0"))})
@@ -110,7 +120,7 @@ def dimensions(products: DataFrame, stores: DataFrame, calendar: DataFrame, pair
 
 def promotion_suite(df: DataFrame, least_types: int = 3) -> DataFrame:
     """Unique ids and enough types."""
-    return _checks("promotions", {"duplicate_id": _count(df.groupBy("promotion_id").count().filter("count > 1")),
+    return _checks("promotions", {"duplicate_id": surplus(df, "promotion_id"),
                                   "few_types": df.agg((F.count_distinct("promotion_type") < least_types).cast("long"))})
 
 

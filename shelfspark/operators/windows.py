@@ -172,15 +172,36 @@ def densify(df: DataFrame, zero: tuple[str, ...] = ("units",)) -> DataFrame:
     return grid.join(df, [*KEYS, "date"], "left").fillna(0, list(zero))
 
 
+def value_range(df: DataFrame, value: Column, ranges: int = 1000) -> Column:
+    """The number of the range that a value lies in, 0 to ranges - 1, null in the lowest.
+
+    The ranges lie between quantiles of the values in df, from one sketch of constant size, so
+    each holds a like share of the rows whatever the values' tails; equal values share one.  The
+    edges are found once, on the driver (fewer than `ranges` numbers), so every use of the
+    column deals alike.  They are looked up in two steps, by blocks of edges."""
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(value.cast("double"), shares, 20 * ranges).alias("e")).first().e
+    edges = sorted(set(found or []))
+    size = max(1, round(len(edges) ** 0.5))
+    blocks = [edges[i:i + size] for i in range(0, len(edges), size)]
+    if not blocks:
+        return F.lit(0)
+
+    def lies_above(edge: Column) -> Column:
+        return edge <= value.cast("double")
+
+    block = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lies_above))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks]), F.greatest(block, F.lit(1)))
+    return F.greatest((block - 1) * size, F.lit(0)) + F.size(F.filter(inside, lies_above))
+
+
 def running(df: DataFrame, value: str, sums: list[str], ranges: int = 1000) -> DataFrame:
     """df (one row for each distinct value) with run_<c> of the columns in sums: totals over the
     rows of greater value and the row itself.
 
-    No task sorts everything: rows are dealt by equal ranges of the value, each range is summed
-    in its own window, and the totals of the ranges (at most `ranges` + 1 rows) are added."""
-    edges = df.agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
-    at = F.when(F.col("high_") > F.col("low_"), F.floor((F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_")) * ranges)).otherwise(0)
-    rows = df.crossJoin(F.broadcast(edges)).withColumn("range_", F.coalesce(at, F.lit(-1)))
+    No task sorts everything: rows are dealt by ranges between quantiles of the value, each range
+    is summed in its own window, and the totals of the ranges (at most `ranges` rows) are added."""
+    rows = df.withColumn("range_", value_range(df, F.col(value), ranges))
     totals = rows.groupBy("range_").agg(*[F.sum(c).alias(f"of_{c}") for c in sums])
     above = Window.orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("range_", *[F.coalesce(F.sum(f"of_{c}").over(above), F.lit(0)).alias(f"from_{c}") for c in sums])
@@ -193,17 +214,16 @@ def order_statistics(df: DataFrame, value: Column, levels: list[Column], by: lis
     """(by, n, q): of each group its number of rows and an array with, for each level (a column of
     n: the fractional rank from 0), the value at that rank, interpolated as in an exact percentile.
 
-    Rows are first counted by distinct value; the ranks are found in counts by equal ranges, and
-    only the ranges that hold one are ordered, so no task sorts a group."""
-    rows = df.select(*by, value.cast("double").alias("v_")).filter("v_ is not null").groupBy(*by, "v_").agg(F.count(F.lit(1)).alias("c_"))
-    edges = rows.groupBy(*by).agg(F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.sum("c_").alias("n"))
-    edges = edges.withColumn("at_", F.array(*[level.cast("double") for level in levels]))
-    at = F.when(F.col("high_") > F.col("low_"), F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * ranges)).otherwise(0)
-    join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # without groups: one row
-    rows = join(rows, edges).withColumn("range_", at)
+    Rows are first counted by distinct value; the ranks are found in counts by ranges between
+    quantiles of the value over all groups, and only the ranges that hold one are ordered, so a
+    task orders one range of a group."""
+    rows = df.select(*by, value.cast("double").alias("v_")).filter("v_ is not null")
+    at = value_range(rows, F.col("v_"), ranges)
+    rows = rows.groupBy(*by, "v_").agg(F.count(F.lit(1)).alias("c_")).withColumn("range_", at)
     counts = rows.groupBy(*by, "range_").agg(F.sum("c_").alias("of_"))
-    before = F.sum("of_").over(Window.partitionBy(*by).orderBy("range_")) - F.col("of_")
-    counts = counts.withColumn("before_", before)  # `ranges` + 1 rows a group
+    group = Window.partitionBy(*by)  # `ranges` rows a group at most
+    counts = counts.withColumns({"before_": F.sum("of_").over(group.orderBy("range_")) - F.col("of_"), "n": F.sum("of_").over(group)})
+    counts = counts.withColumn("at_", F.array(*[level.cast("double") for level in levels]))
     held = rows.join(counts, [*by, "range_"])
 
     def inside(start: str, size: str) -> Column:

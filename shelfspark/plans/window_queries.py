@@ -15,7 +15,7 @@ def pick(*names):
 
 
 add("s05_fingerprint", lambda t: src.fingerprint(t.sales.select("product_id", "store_id", "units")),
-    """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat_ws('|', product_id, store_id, CAST(units AS VARCHAR))), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM sales_daily""",
+    """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat(length(product_id), ':', product_id, length(store_id), ':', store_id, length(units::VARCHAR), ':', units)), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM sales_daily""",
     plain="digest", whole="rows")
 add("s06_manifest", lambda t: src.manifest({"sales_daily": t.sales, "products": t("products")}),
     """SELECT 'sales_daily' AS table_name, strftime(date, '%Y%m') AS part, count(*) AS rows FROM sales_daily GROUP BY ALL

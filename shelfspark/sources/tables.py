@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -131,8 +132,13 @@ def write_sample(df: DataFrame, path: str, key: list[str], rows: int) -> None:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, digest): an order-insensitive content hash of all columns, the sum of 60
-    bits of each row's md5 over the columns by name, null as a sign of its own."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in sorted(df.columns)])
+    bits of each row's md5 over the columns by name.  A value goes in after its length and a
+    colon, null as a dash, so that no two rows read alike."""
+    def counted(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("string")
+        return F.coalesce(F.concat(F.char_length(v), F.lit(":"), v), F.lit("-"))
+
+    text = F.concat(F.lit(""), *[counted(c) for c in sorted(df.columns)])
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("digest"))
 
@@ -161,12 +167,47 @@ def describe(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_only(spark: SparkSession, sql: str, tables: dict[str, DataFrame], most: int) -> DataFrame:
-    """A SELECT or WITH statement over the given tables as views, at most `most` rows."""
-    if not re.match(r"\s*(select|with)\b", sql, re.I):
+    """A SELECT or WITH statement over the given tables as views, at most `most` rows.
+
+    It runs as a subquery, where any command is a syntax error, so nothing that writes, creates
+    or drops is run, behind WITH neither.  Scripts and calls of Java methods are refused.  The views
+    last for the analysis only; views of the same names are there again afterwards.
+    """
+    bare = _without_texts(sql)
+    if not re.match(r"\s*(select|with)\b", bare, re.I):
         raise ValueError("only SELECT or WITH statements are run")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql).limit(most)
+    if found := re.search(r"\b(insert|overwrite|merge|delete|drop|truncate|transform\s*\(.*\)\s*using|map\s.*\susing|reduce\s.*\susing|(try_)?reflect\s*\(|java_method\s*\()", bare, re.I | re.S):
+        raise ValueError(f"not in a read-only statement: {found[0].split('(')[0].strip()}")
+    if bare.count("(") != bare.count(")") or min(_depths(bare)) < 0:
+        raise ValueError("brackets do not match")
+    there = {v.name for v in spark.catalog.listTables() if v.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in there}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(_identifier(name))
+        return spark.sql(f"SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)").limit(most)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _without_texts(sql: str) -> str:
+    """sql without comments, string literals and quoted names."""
+    return re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ", sql, flags=re.S)
+
+
+def _depths(sql: str) -> list[int]:
+    return list(accumulate((1 if c == "(" else -1 for c in sql if c in "()"), initial=0))
+
+
+def _identifier(name: str) -> str:
+    """A plain name, or an error: no dots, quotes or expressions."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not a name: {name!r}")
+    return name
 
 
 #: Availability of each table: observed rows end at the as-of date, known ones do not.
@@ -190,7 +231,10 @@ def as_of(df: DataFrame, name: str, day: Column | str) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, equal: dict | None = None, among: dict | None = None,
          start: str | None = None, end: str | None = None, day: str | None = None, most: int | None = None) -> DataFrame:
     """One typed reader for every table: projection, equality and list filters (an empty list
-    is no filter), inclusive dates (overlap for event tables), as-of cut and a row cap."""
+    is no filter), inclusive dates (overlap for event tables), as-of cut and a row cap.  Names that
+    are no identifiers are refused."""
+    for c in [name, *(columns or []), *(equal or {}), *(among or {})]:
+        _identifier(c)
     df = table(spark, sf_dir, name)
     for c, v in (equal or {}).items():
         df = df.filter(F.col(c) == v)

@@ -83,7 +83,8 @@ def test_elasticity_recovery(spark):
 
 def test_benjamini_hochberg_is_monotone(spark):
     rows = [("A", f"B{i}", 0.5, t) for i, t in enumerate((4.0, 3.0, 2.0, 1.0, 0.1))]
-    got = elasticity.relationships(spark.createDataFrame(rows, "product_a string, product_b string, other double, t double")).orderBy("k").collect()
+    given = spark.createDataFrame(rows, "product_a string, product_b string, other double, t double").withColumn("p", elasticity.two_sided_p(F.col("t")))
+    got = elasticity.relationships(given).orderBy("k").collect()
     assert all(a.p_adjusted <= b.p_adjusted for a, b in zip(got, got[1:]))
     assert got[0].kind == "substitute" and got[-1].kind == "unrelated"
     assert abs(got[2].p - 0.0455) < 1e-3
