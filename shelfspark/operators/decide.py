@@ -52,6 +52,52 @@ def allocate(parts: DataFrame, budget: float) -> DataFrame:
     return parts.join(cut.select("marginal", "share"), "marginal", "left").withColumn("spend", F.col("width") * F.coalesce("share", F.lit(0.0)))
 
 
+def allocate_limited(parts: DataFrame, budget: float, limits: DataFrame, dimension: str) -> DataFrame:
+    """Spend of one budget under floors and caps on the values of a dimension.
+
+    parts: segments with a column `dimension`; limits: (dimension, least, most), either may be
+    null, rows of one value count together.  First each value's best segments are funded up to
+    its floor, those without a gain too; then what is left goes by marginal return to the
+    segments between floor and cap that gain.  The constraints are nested, so the two greedy
+    fills are optimal.  A floor above its cap is cut to the cap; floors that together pass the
+    budget are funded in proportion (both are reported by `limit_report`).  A null value of the
+    dimension has no limits.
+    """
+    bounds = limits.groupBy(dimension).agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    levels = parts.groupBy(dimension, "marginal").agg(F.sum("width").alias("level"))
+    rows = running(levels, "marginal", ["level"], by=(dimension,)).join(bounds, dimension, "left")
+    cap = F.coalesce("most", F.lit(float("inf")))
+    floor = F.least(F.coalesce("least", F.lit(0.0)), cap)
+    start = F.col("run_level") - F.col("level")
+
+    def covered(upto: Column) -> Column:
+        return F.least(F.greatest(upto - start, F.lit(0.0)), F.col("level"))
+
+    rows = rows.select(dimension, "marginal", F.col("level").alias("size"), covered(floor).alias("held"),
+                       F.when(F.col("marginal") > 0, covered(cap) - covered(floor)).otherwise(0.0).alias("level"))
+    held = rows.agg(F.coalesce(F.sum("held"), F.lit(0.0)).alias("held_all"))
+    held = held.select(F.greatest(budget - F.col("held_all"), F.lit(0.0)).alias("left_over"), F.when(F.col("held_all") > budget, budget / F.col("held_all")).otherwise(1.0).alias("cut"))
+    open_ = rows.groupBy("marginal").agg(F.sum("level").alias("level")).filter("level > 0")
+    share = (F.col("left_over") - (F.col("run_level") - F.col("level"))) / F.col("level")
+    shares = running(open_, "marginal", ["level"]).crossJoin(F.broadcast(held)).select(F.col("marginal").alias("at_"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"))
+    paid = rows.crossJoin(F.broadcast(held)).join(shares, F.col("marginal") == F.col("at_"), "left")
+    paid = paid.select(F.col(dimension).alias("of_"), F.col("marginal").alias("at_"), ((F.col("held") * F.col("cut") + F.col("level") * F.coalesce("share", F.lit(0.0))) / F.col("size")).alias("funded"))
+    both = parts[dimension].eqNullSafe(paid["of_"]) & (parts["marginal"] == paid["at_"])
+    return parts.join(paid, both).withColumn("spend", F.col("width") * F.col("funded")).drop("of_", "at_", "funded")
+
+
+def limit_report(funded: DataFrame, limits: DataFrame, dimension: str) -> DataFrame:
+    """(dimension, least, most, capacity, spend, status) of each limit: unmatched where no candidate
+    has the value, infeasible where the floor is not met, at_floor, at_cap or inside."""
+    bounds = limits.groupBy(dimension).agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    sums = funded.groupBy(dimension).agg(F.sum("width").alias("capacity"), F.sum("spend").alias("spend"))
+    rows = bounds.join(sums, dimension, "left")
+    near = 1e-6
+    status = (F.when(F.col("capacity").isNull(), "unmatched").when((F.col("spend") < F.col("least") - near) | (F.col("least") > F.col("most")), "infeasible")
+              .when(F.col("spend") >= F.col("most") - near, "at_cap").when(F.col("spend") <= F.col("least") + near, "at_floor").otherwise("inside"))
+    return rows.withColumn("status", status)
+
+
 def lines(funded: DataFrame) -> DataFrame:
     out = funded.groupBy("candidate_id").agg(F.sum("spend").alias("spend"), F.sum(F.col("spend") * F.col("marginal")).alias("profit"), F.min(F.when(F.col("spend") > 0, F.col("marginal"))).alias("marginal_roi"))
     return out.withColumn("roi", safe(F.col("profit"), F.col("spend")))

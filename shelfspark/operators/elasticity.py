@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalar import logs
+from shelfspark.functions.stats import student_p
 from shelfspark.operators.windows import KEYS, safe, within
 
 
@@ -68,8 +69,8 @@ def choose(products: DataFrame, panel_fe: DataFrame, randomised: DataFrame) -> D
 def cross(pairs: DataFrame, least: int = 120) -> DataFrame:
     """Two-regressor model of each pair (own and other price) after absorbing stores and
     dates, by its normal equations; columns ln_demand_a, ln_price_a, ln_price_b.  Pairs with
-    under `least` shared rows have no estimate and are left out.  p is that of a large sample
-    (a normal tail), which with `least` rows is within 0.002 of Student's."""
+    under `least` shared rows have no estimate and are left out.  p is that of Student's t with
+    n - 2 degrees of freedom."""
     names = ["ln_demand_a", "ln_price_a", "ln_price_b"]
     unit, day = Window.partitionBy("product_a", "product_b", "store_id"), Window.partitionBy("product_a", "product_b", "date")
     w = pairs.withColumns({f"u_{c}": F.col(c) - F.avg(c).over(unit) for c in names})
@@ -83,7 +84,7 @@ def cross(pairs: DataFrame, least: int = 120) -> DataFrame:
     e = y - F.col("own") * p - F.col("other") * q
     v = (F.col("pp") * q - F.col("pq") * p) * e
     meat = fit.groupBy("product_a", "product_b").agg(F.sum(v * v).alias("meat"))
-    return s.join(meat, ["product_a", "product_b"]).withColumn("t", safe(F.col("other") * det, F.sqrt("meat"))).withColumn("p", two_sided_p(F.col("t"))).select("product_a", "product_b", "n", "own", "other", "t", "p")
+    return s.join(meat, ["product_a", "product_b"]).withColumn("t", safe(F.col("other") * det, F.sqrt("meat"))).withColumn("p", student_p(F.col("t"), F.col("n") - 2)).select("product_a", "product_b", "n", "own", "other", "t", "p")
 
 
 def two_sided_p(t: Column) -> Column:

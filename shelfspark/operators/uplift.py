@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.stats import student_p
 from shelfspark.operators.joins import attributes, days_to_nearest, first_day_spend, keep_keys, washout
 from shelfspark.operators.windows import KEYS, lagged, quantiles, rolling, running, safe
 
@@ -100,10 +101,12 @@ def differences(df: DataFrame, treated: Column, after: Column, y: str) -> DataFr
 
 
 def parallel_trends(df: DataFrame, treated: Column, time: str, y: str) -> DataFrame:
-    """Difference of the two arms' slopes with its pooled standard error."""
+    """Difference of the two arms' slopes with its pooled standard error, t and its p by Student's
+    distribution with n - 4 degrees of freedom; parallel: p above 0.05."""
     arm = df.groupBy(treated.alias("t")).agg(F.regr_slope(y, time).alias("b"), F.regr_sxx(y, time).alias("sxx"), (F.regr_syy(y, time) - F.regr_sxy(y, time) * F.regr_sxy(y, time) / F.regr_sxx(y, time)).alias("sse"), F.count(y).alias("n"))
     diff = F.sum(F.when(F.col("t"), F.col("b")).otherwise(-F.col("b")))
-    return arm.agg(diff.alias("difference"), F.sqrt(F.sum("sse") / (F.sum("n") - 4) * F.sum(1 / F.col("sxx"))).alias("error"), F.sum("n").alias("n"))
+    return arm.agg(diff.alias("difference"), F.sqrt(F.sum("sse") / (F.sum("n") - 4) * F.sum(1 / F.col("sxx"))).alias("error"), F.sum("n").alias("n")).withColumn(
+        "t", safe(F.col("difference"), F.col("error"))).withColumn("p", student_p(F.col("t"), F.col("n") - 4)).withColumn("parallel", F.col("p") > 0.05)
 
 
 def qini(df: DataFrame, treated: Column, score: str, y: str, buckets: int = 10) -> DataFrame:
@@ -135,7 +138,8 @@ def impact(effects: DataFrame) -> DataFrame:
 def bootstrap(per_series: DataFrame, draws: int = 200, seed: int = 5) -> DataFrame:
     """Percentile interval of a ratio of sums (num, den by listing): each draw weighs each
     listing by a Poisson(1) count from a hash."""
-    u = F.pmod(F.xxhash64(*KEYS, "draw", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    h = F.md5(F.concat_ws("|", *KEYS, F.col("draw").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2.0**32
     cuts, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):
         total += p

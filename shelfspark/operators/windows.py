@@ -6,6 +6,8 @@ gives null.  One partitioning serves all features, so a whole panel needs one sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,18 +197,19 @@ def value_range(df: DataFrame, value: Column, ranges: int = 1000) -> Column:
     return F.greatest((block - 1) * size, F.lit(0)) + F.size(F.filter(inside, lies_above))
 
 
-def running(df: DataFrame, value: str, sums: list[str], ranges: int = 1000) -> DataFrame:
-    """df (one row for each distinct value) with run_<c> of the columns in sums: totals over the
-    rows of greater value and the row itself.
+def running(df: DataFrame, value: str, sums: list[str], ranges: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """df (one row for each distinct value of a group `by`) with run_<c> of the columns in sums:
+    totals over the group's rows of greater value and the row itself.
 
     No task sorts everything: rows are dealt by ranges between quantiles of the value, each range
     is summed in its own window, and the totals of the ranges (at most `ranges` rows) are added."""
     rows = df.withColumn("range_", value_range(df, F.col(value), ranges))
-    totals = rows.groupBy("range_").agg(*[F.sum(c).alias(f"of_{c}") for c in sums])
-    above = Window.orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("range_", *[F.coalesce(F.sum(f"of_{c}").over(above), F.lit(0)).alias(f"from_{c}") for c in sums])
-    inside = Window.partitionBy("range_").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(starts), "range_").withColumns({f"run_{c}": F.col(f"from_{c}") + F.sum(c).over(inside) for c in sums})
+    totals = rows.groupBy(*by, "range_").agg(*[F.sum(c).alias(f"of_{c}") for c in sums])
+    above = Window.partitionBy(*by).orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(c).alias(f"key_{c}") for c in (*by, "range_")], *[F.coalesce(F.sum(f"of_{c}").over(above), F.lit(0)).alias(f"from_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "range_").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"key_{c}")) for c in (*by, "range_")])
+    out = rows.join(starts if by else F.broadcast(starts), same).withColumns({f"run_{c}": F.col(f"from_{c}") + F.sum(c).over(inside) for c in sums})
     return out.select(*df.columns, *[f"run_{c}" for c in sums])
 
 
