@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are near-duplicates when they are equal, or when both have LEAST characters or more
-and their edit distance is at most TAU and at most a tenth of the longer one's characters.  Lines of only white space are
-never duplicates.  A line split into TAU + 1 segments keeps at least one of them unchanged
+Two lines are near-duplicates when they are equal, or when their edit distance is at most TAU
+and at most a tenth of the longer one's characters (so the shorter one has LEAST - 1 or
+more).  Lines of only white space are never duplicates.  A line split into TAU + 1 segments keeps at least one of them unchanged
 under TAU edits, so:
 
 1. Every distinct line gets, from its first place, a key for each substring that can be an
@@ -152,9 +152,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: in
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line_no")
     by_line = materialise(places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("lid").alias("lid"), F.min("n").alias("n")))
     # each distinct line once, from its first place: lines of one place need no look-up
-    again = materialise(by_line.filter((F.col("first") != F.col("last")) & (F.col("n") >= LEAST)).select(
+    again = materialise(by_line.filter((F.col("first") != F.col("last")) & (F.col("n") >= LEAST - 1)).select(
         F.col("digest").alias("again"), F.col("first.id").alias("fi"), F.col("first.th").alias("ft"), F.col("first.line_no").alias("fl")))
-    long = places.filter(F.col("n") >= LEAST)
+    long = places.filter(F.col("n") >= LEAST - 1)
     once = long.join(small(again, broadcast_rows), F.col("digest") == F.col("again"), "left").filter(
         F.col("again").isNull() | (F.col("fi").eqNullSafe(F.col("id")) & (F.col("ft") == F.col("th")) & (F.col("fl") == F.col("line_no"))))
     found = materialise(members(once.select("lid", "line", "n"), tau))

@@ -150,7 +150,7 @@ LINE_SQL = f"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
 kept AS (SELECT * FROM l WHERE length(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) > 0),
 d AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS i FROM (SELECT DISTINCT line FROM kept)),
-d3 AS (SELECT *, left(line, n // 3) AS s1, substr(line, n // 3 + 1, n // 3) AS s2, right(line, n // 3) AS s3 FROM d WHERE n >= {lines.LEAST}),
+d3 AS (SELECT *, left(line, n // 3) AS s1, substr(line, n // 3 + 1, n // 3) AS s2, right(line, n // 3) AS s3 FROM d WHERE n >= {lines.LEAST - 1}),
 near AS (SELECT a.i AS x, b.i AS y, a.line AS s, b.line AS t FROM d3 a JOIN d3 b ON b.n BETWEEN a.n AND a.n + {lines.TAU} AND a.i <> b.i
          WHERE contains(b.line, a.s1) OR contains(b.line, a.s2) OR contains(b.line, a.s3)),
 links AS (SELECT x, y FROM (SELECT x, y, levenshtein(s, t) AS e, greatest(length(s), length(t)) AS n FROM near) WHERE e <= {lines.TAU} AND e * {lines.LEAST} <= n),

@@ -152,20 +152,24 @@ def model(counts: DataFrame) -> DataFrame:
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+    """Of each language: sorted trigrams, their log probabilities and the least of these."""
     table = rows.toArrow()
     out, names = {}, np.array(table["lang"].to_pylist(), object)
     keys, logs = table["g"].to_numpy(), table["logp"].to_numpy()
     for lang in set(names):
         mine = names == lang
         order = np.argsort(keys[mine])
-        out[lang] = keys[mine][order], logs[mine][order]
+        out[lang] = keys[mine][order], logs[mine][order], logs[mine].min()
     return out
 
 
 def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, __llm_lang, base counts, log_ppl) of every document; log_ppl is null for an empty text.
+    """(id, __llm_lang, base counts, log_ppl) of every document; log_ppl is null for an empty text
+    and for a language that the model lacks.
+
+    A trigram that the model lacks counts as the rarest one of its language.
 
     Null text: no words, no log_ppl.  Null language: a language of its own.  Null and repeated
     ids stay, each row scored on its own text.  Up to broadcast_rows trigrams the workers hold
@@ -174,8 +178,8 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     probabilities = materialise(probabilities)
-    small = probabilities.count() <= broadcast_rows
-    tables = spark.sparkContext.broadcast(_arrays(probabilities)) if small else None
+    held = probabilities.count() <= broadcast_rows
+    tables = spark.sparkContext.broadcast(_arrays(probabilities)) if held else None
     rows = docs.select(id_col, F.coalesce(F.col(lang), F.lit("")).alias("__llm_lang"), utf8(text).alias("__llm_text"))
 
     def run(batches):
@@ -188,18 +192,22 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
                 if known is None:
                     logs.append(None)
                     continue
-                g, p = known[name] if name in known else (None, None)
+                if name not in known:
+                    logs.append(None)
+                    continue
+                g, p, rarest = known[name]
                 total, n = 0.0, 0
                 for grams in trigrams(raw.decode("utf-8", "replace")):
-                    total += float(p[np.searchsorted(g, grams)].sum(dtype=np.float64))
+                    at = np.minimum(np.searchsorted(g, grams), len(g) - 1)
+                    total += float(np.where(g[at] == grams, p[at], rarest).sum(dtype=np.float64))
                     n += len(grams)
                 logs.append(-total / n if n else None)
             columns = [pa.array(list(c), pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
-            keys = [] if small else [batch.column("__llm_key")]
+            keys = [] if held else [batch.column("__llm_key")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(logs, pa.float64()), *keys], names=out.names)
 
     out = added(docs.select(id_col), f"__llm_lang string, {FEATURES}, log_ppl double")
-    if small:
+    if held:
         return rows.mapInArrow(run, out)
     # beyond the bound: trigrams of each text are joined with the model; repeated texts of a
     # language double both sums of their key and so share their mean
@@ -216,7 +224,10 @@ def score(docs: DataFrame, probabilities: DataFrame, id_col: str = "doc_id", tex
                         pa.array(g), pa.array(n, pa.int64())], names=["lang", "key", "g", "n"])
 
     grams = rows.select("__llm_lang", "__llm_key", "__llm_text").mapInArrow(grams_of, "lang string, key binary, g long, n long")
-    means = grams.join(probabilities, ["lang", "g"]).groupBy("lang", "key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"))
+    # a row a language; one that the model lacks has none
+    least = small(materialise(probabilities.groupBy("lang").agg(F.min("logp").alias("rarest"))), LANGUAGES)
+    met = grams.join(least, "lang").join(probabilities, ["lang", "g"], "left").withColumn("logp", F.coalesce("logp", "rarest"))
+    means = met.groupBy("lang", "key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"))
     base = rows.mapInArrow(run, out)
     joined = base.join(means, (F.col("__llm_lang") == means["lang"]) & (F.col("__llm_key") == means["key"]), "left")
     return joined.select(id_col, "__llm_lang", *(x.split(" ")[0] for x in FEATURES.split(", ")), F.col("mean").alias("log_ppl"))

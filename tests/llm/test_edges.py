@@ -106,7 +106,7 @@ def test_lines_of_every_short_length(spark):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
         return row[-1]
 
-    links = [(i, j) for i, a in enumerate(pool) for j, b in enumerate(pool[:i]) if min(len(a), len(b)) >= 10 and (d := distance(a, b)) <= 2 and 10 * d <= max(len(a), len(b))]
+    links = [(i, j) for i, a in enumerate(pool) for j, b in enumerate(pool[:i]) if (d := distance(a, b)) <= 2 and 10 * d <= max(len(a), len(b))]
     root = roots_of(links, range(len(pool)))
     want = {i: min(j for j in root if root[j] == root[i]) for i in root if sum(r == root[i] for r in root.values()) > 1}
     assert {r.doc_id: r.class_id for r in lines.classes(df).collect()} == want

@@ -277,3 +277,26 @@ def test_runs_and_collapse(spark):
     empty = df.limit(0)
     assert runs.digests(empty).count() == runs.runs(empty).count() == runs.collapse(empty).count() == 0
     assert runs.runs(df.withColumn("runs", F.lit(1))).columns == [*df.columns, "runs"]
+
+
+# ---- mended cases ----
+
+def test_lines_of_nine_and_ten_characters(spark):
+    from shelfspark.llm import lines
+
+    texts = ["Read more\nWith and.\nabcdefghi", "Read more.\nWith, and.\nabcdefghj\n12345678", "123456789"]
+    got = {(r.doc_id, r.line_no): (r.class_id, r.class_line_no, r.removed) for r in lines.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, 0): (0, 0, False), (1, 0): (0, 0, True), (0, 1): (0, 1, False), (1, 1): (0, 1, True)}
+
+
+def test_trigrams_that_a_model_lacks(spark):
+    from shelfspark.llm import rules
+
+    given = spark.createDataFrame([(1, "abcabc abc", "en"), (2, "zzzz qqq", "en"), (3, "abc", "xx"), (4, "abc zq", "en"), (5, "", "en")], "doc_id long, text string, lang string")
+    table = rules.model(rules.count_trigrams(given.filter("doc_id = 1"), "text", "lang"))
+    near, far = ({r.doc_id: r.log_ppl for r in rules.score(given, table, broadcast_rows=n).collect()} for n in (10**6, 0))
+    rarest = -min(r.logp for r in table.collect())
+    assert near[3] is None and far[3] is None and near[5] is None and far[5] is None
+    for i in (1, 2, 4):
+        assert abs(near[i] - far[i]) < 1e-9
+    assert abs(near[2] - rarest) < 1e-9 and near[1] < near[4] < near[2]
