@@ -10,10 +10,12 @@ bits.  Distinct fingerprints are taken once, so a group of exact copies is one r
 2. Balls of one bit (65 rows) of those fingerprints link all pairs at distance 1 and 2: the
    members of a variant are within two of each other, so the smallest is a hub to which all
    others link, group size minus one edges and no pairs.
-3. Pairs at distance 3 matter between components of step 2 only.  Where the filter's variants
-   hold several components, all members emit their balls of one bit, and those that are not of
-   the largest component there add all variants of two bits in one half (two of any three bits
-   lie in one half).  Such a pair meets in a variant at one bit from the one and two from the
+3. Pairs at distance 3 matter between components of step 2 only.  The filter's variants are
+   made once more for what has a partner.  Where one holds several components and FEW members at
+   most, all its pairs are compared: every pair within three bits meets in some variant.  In
+   larger groups all members emit their balls of one bit, and those that are not of the largest
+   component there add all variants of two bits in one half (two of any three bits lie in one
+   half).  Such a pair meets in a variant at one bit from the one and two from the
    other; all rows at one bit are of one component, so the smallest is the hub again.  The
    pairs of bits are taken in ROUNDS, and what has joined the components it met drops out.
 4. Components of the verified edges.
@@ -84,6 +86,8 @@ TWOS = [_mask(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i
 #: The pairs in rounds: most of a dense group's components join in the first, few are left for the rest.
 ROUNDS = [TWOS[0::16], [m for i, m in enumerate(TWOS) if i % 16 in (4, 8, 12)], [m for i, m in enumerate(TWOS) if i % 4]]
 BLOCK = 16
+#: Members of a variant's group up to which its pairs are compared directly.
+FEW = 32
 
 
 def _flips(masks: list[str]) -> Column:
@@ -119,6 +123,38 @@ def _linked(variants: DataFrame) -> DataFrame:
     )
 
 
+def _sized(near: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(fp, of) of the fingerprints, or of those in `only`: of is the size and root of its
+    component.  What is not linked yet is a component of its own."""
+    named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = materialise(named)
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    mine = named if only is None else named.join(only.select("fp"), "fp", "left_semi")
+    return mine.join(sizes, "root").select("fp", F.struct("size", "root").alias("of"))
+
+
+def _several(sized: DataFrame) -> DataFrame:
+    """(fp, of, v, n, most) of the variants of 48 bits that hold several components: n members, the
+    largest component `most`.  Components only grow, so what met no other before meets none
+    later."""
+    w = Window.partitionBy("v")
+    met = _met(sized).withColumns({"n": F.count(F.lit(1)).over(w), "most": F.max("of").over(w), "least": F.min("of").over(w)})
+    return met.filter("least < most").drop("least")
+
+
+def _pairs(several: DataFrame) -> DataFrame:
+    """Edges (a, b) between components inside each variant's group, all pairs compared: groups of
+    FEW at most, and only pairs within RADIUS leave the array."""
+    groups = several.groupBy("v").agg(F.collect_list(F.struct("fp", "of.root")).alias("m"))
+
+    def partners(x: Column) -> Column:
+        near = F.filter("m", lambda y: (y["fp"] > x["fp"]) & (y["root"] != x["root"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= RADIUS))
+        return F.transform(near, lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))
+
+    found = groups.select(F.flatten(F.transform("m", partners)).alias("p")).filter(F.size("p") > 0)
+    return found.select(F.inline("p")).distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct values of fp, enough to connect every pair within RADIUS bits."""
     distinct = materialise(fps.select("fp").distinct())
@@ -128,18 +164,15 @@ def links(fps: DataFrame) -> DataFrame:
     near = materialise(met.filter((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= RADIUS)).select("fp").distinct())
     ball = near.select("fp", F.explode(_flips(ONES)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), F.lit(True).alias("close"))
     edges = materialise(_linked(ball))
-    open_ = near
+    several = materialise(_several(_sized(near, edges)))
+    # a pair within RADIUS bits meets in one variant at least: small groups are compared at once
+    edges = materialise(edges.union(_pairs(several.filter(F.col("n") <= FEW))).distinct())
+    open_ = materialise(several.filter(F.col("n") > FEW).select("fp").distinct())
     for pairs in ROUNDS:
-        # what is not linked yet is a component of its own; components are ordered by size, then root
-        named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-        named = materialise(named)
-        sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        # components only grow, so what met no other before meets none now
-        sized = named.join(open_.select("fp"), "fp", "left_semi").join(sizes, "root").select("fp", F.struct("size", "root").alias("of"))
-        several = _met(sized).withColumn("most", F.max("of").over(w)).withColumn("least", F.min("of").over(w)).filter("least < most")
-        open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
         if open_.isEmpty():
             break
+        several = _several(_sized(near, edges, open_)).filter(F.col("n") > FEW)
+        open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
         masks = F.when(F.col("wide"), _flips(ONES + pairs)).otherwise(_flips(ONES))
         wide = open_.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
         edges = materialise(edges.union(_linked(wide)).distinct())

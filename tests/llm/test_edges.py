@@ -44,8 +44,11 @@ def test_keep_one_tells_unlike_texts_of_one_id_apart(spark):
     assert sorted((r.doc_id, r.text) for r in got) == sorted(rows[:2])
 
 
-def test_ball_links_between_components(spark):
-    """Clouds of fingerprints that only pairs at distance 3 connect, dense and sparse ones."""
+@pytest.mark.parametrize("few", [1, 4, simhash.FEW])
+def test_ball_links_between_components(spark, monkeypatch, few):
+    """Clouds of fingerprints that only pairs at distance 3 connect, dense and sparse ones; by
+    balls, by pairs in small groups and by both."""
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(11)
     values = set()
     for size in (40, 3, 1):
