@@ -73,7 +73,9 @@ def candidate_pairs(products: DataFrame, declared: DataFrame, most: int = 40) ->
     `most` (the cap is the operator's parameter)."""
     said = declared.filter("relationship_type <> 'unrelated'").select(F.col("product_a").alias("focal"), F.col("product_b").alias("other"), F.lit(0).alias("tier"))
     p = products.select("product_id", "category")
-    same = p.alias("x").join(p.alias("y"), F.expr("x.category = y.category and x.product_id <> y.product_id")).select(
+    # the first most + 1 products of a category hold all that a focal product can take from it
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("product_id"))).filter(F.col("n") <= most + 1)
+    same = p.alias("x").join(first.alias("y"), F.expr("x.category = y.category and x.product_id <> y.product_id")).select(
         F.col("x.product_id").alias("focal"), F.col("y.product_id").alias("other"), F.lit(1).alias("tier"))
     best = said.union(same).groupBy("focal", "other").agg(F.min("tier").alias("tier"))
     w = Window.partitionBy("focal").orderBy("tier", "other")

@@ -85,3 +85,15 @@ def test_running_sums_over_ranges(spark):
     assert got == want
     assert windows.running(df.limit(0), "v", ["w"]).count() == 0
     assert windows.quantiles(df.limit(0), F.col("v"), [0.5]).count() == 0
+
+
+def test_candidate_pairs_take_the_first_of_a_category(spark):
+    from shelfspark.operators import joins
+
+    products = spark.createDataFrame([(f"p{i:03d}", "c") for i in range(60)], "product_id string, category string")
+    declared = spark.createDataFrame([("p005", "p050", "substitute"), ("p005", "p002", "complement"), ("p001", "p059", "unrelated")], "product_a string, product_b string, relationship_type string")
+    got = {}
+    for r in joins.candidate_pairs(products, declared, 5).orderBy("focal", "rank").collect():
+        got.setdefault(r.focal, []).append(r.other)
+    assert got["p005"] == ["p002", "p050", "p000", "p001", "p003"] and got["p001"] == ["p000", "p002", "p003", "p004", "p005"]
+    assert got["p059"] == ["p000", "p001", "p002", "p003", "p004"] and len(got) == 60
