@@ -107,3 +107,37 @@ def widths(rows: DataFrame, alpha: float = 0.1, least: int = 100) -> DataFrame:
 def totals(rows: DataFrame) -> DataFrame:
     """Target and prediction summed over the steps of each series and origin."""
     return rows.groupBy(*KEYS, "origin_date").agg(F.sum("target_units").alias("units"), F.sum("predicted").alias("predicted"), F.count(F.lit(1)).alias("steps"))
+
+
+def thinned(rows: DataFrame, spacing: int) -> DataFrame:
+    """The rows whose origin is kept by a greedy thinning of the origins' dates: origins that share
+    their recent history are not counted as independent."""
+    kept = windows.thin(rows.select(F.col("origin_date").alias("date")), spacing)
+    return rows.join(kept.withColumnRenamed("date", "origin_date"), "origin_date", "left_semi")
+
+
+def calibration(rows: DataFrame, spacing: int = 7, alpha: float = 0.1, least: int = 100) -> DataFrame:
+    """(bucket, n, width, pooled) from forecasts of thinned origins: one row a bucket, pooled where
+    it holds fewer than `least` rows, and one named total, from the residuals of the sums over the
+    steps of a series and origin.  With fewer than `least` sums the total has no width: the widths
+    of days say nothing of their sum.  No rows give no calibration."""
+    used = thinned(rows.filter(F.col("target_units").isNotNull() & F.col("predicted").isNotNull()), spacing)
+    sums = totals(used).withColumn("bucket", F.lit("total"))
+    counts = sums.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    of_sums = counts.join(metrics.conformal(sums, "bucket", alpha, least).select("bucket", "width"), "bucket", "left")
+    return widths(used, alpha, least).unionByName(of_sums.select("bucket", "n", "width", F.lit(False).alias("pooled")))
+
+
+def _with_bounds(rows: DataFrame, calibrated: DataFrame) -> DataFrame:
+    out = metrics.intervals(rows, calibrated, "bucket")
+    return out.withColumn("lower", F.when(F.col("width").isNotNull(), F.col("lower")))
+
+
+def bounded(rows: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """Forecasts with the bounds of their bucket (null for a bucket that was not calibrated)."""
+    return _with_bounds(rows, calibrated.filter("bucket <> 'total'"))
+
+
+def bounded_totals(rows: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """Sums over the steps of a series and origin, with bounds of their own width (null without one)."""
+    return _with_bounds(totals(rows).withColumn("bucket", F.lit("total")), calibrated).drop("bucket")

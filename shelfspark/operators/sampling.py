@@ -43,3 +43,14 @@ def series(df: DataFrame, per_decile: int) -> DataFrame:
     ranked = ranked.withColumn("decile", (decile + 1).cast("int"))
     w = Window.partitionBy("decile").orderBy(order(*KEYS), *KEYS)
     return ranked.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_decile).drop("__n")
+
+
+def adjacent(df: DataFrame, train: int = 365, test: int = 28, end: str | None = None) -> DataFrame:
+    """One row: the first and last day of a training window and of the test window right after it,
+    which ends at `end` or, where that is sooner, at the last date; `enough` says whether the dates
+    reach back to the start."""
+    edges = df.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    stop = F.least("last", F.to_date(F.lit(end)))  # a null end is left out
+    begin = F.date_sub(stop, test - 1)
+    return edges.select(F.date_sub(begin, train).alias("train_start"), F.date_sub(begin, 1).alias("train_end"), begin.alias("test_start"), stop.alias("test_end"),
+                        (F.date_sub(begin, train) >= F.col("first")).alias("enough"))

@@ -268,3 +268,17 @@ def select_events(found: DataFrame, ids: list[str] | None = None, equal: dict[st
         out = out.filter(F.col(c) == v)
     out = out.filter(F.col("start_date") >= F.to_date(F.lit(start))) if start else out
     return out.filter(F.col("end_date") <= F.to_date(F.lit(end))) if end else out
+
+
+def trade_cells(impacts: DataFrame, products: DataFrame, stores: DataFrame, most: float = 3.0) -> DataFrame:
+    """Decision cells by product and region from measured events (promotion_units with the columns
+    of `impact`): mean and deviation of the return, mean uplift over the expected units, spend, the
+    product's margin, and bounds of the spend from nothing to `most` times its mean."""
+    uplifted = safe(F.col("incremental_units"), F.col("promotion_units") - F.col("incremental_units"))
+    rows = impacts.withColumn("uplift", uplifted).join(stores.select("store_id", "region"), "store_id")
+    cells = rows.groupBy("product_id", "region").agg(
+        F.avg("roi").alias("mean_roi"), F.stddev_samp("roi").alias("sd_roi"), F.avg("uplift").alias("mean_uplift"), F.avg("promotion_spend").alias("mean_spend"),
+        F.sum("promotion_spend").alias("total_spend"), F.count(F.lit(1)).alias("events"))
+    margin = safe(F.col("base_price") - F.col("unit_cost"), F.col("base_price"))
+    out = cells.join(products.select("product_id", "category", "base_price", "unit_cost"), "product_id", "left").withColumn("margin", margin)
+    return out.withColumns({"least_spend": F.lit(0.0), "most_spend": most * F.col("mean_spend")})

@@ -17,7 +17,7 @@ from shelfspark.sources import tables as src
 
 def _folder(t) -> str:
     """A new folder in the storage that driver and executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    root = src.shared_dir(t.spark)
     return f"{root}/written-{uuid.uuid4().hex}"
 
 

@@ -95,7 +95,7 @@ add("b28_frozen_levels", lambda t: features.coded(t.sales.filter("date < '1996-0
 
 
 def _cached(t):
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    root = src.shared_dir(t.spark)
     spec = {"table": "sales_daily", "path": t.sf_dir, "session": t.spark.sparkContext.applicationId, "groups": ["demand"], "version": 1}
     for _ in range(2):  # built once, then read
         out = features.cached(t.spark, root, spec, lambda: windows.demand_rolling(windows.demand_lags(t.sales)))

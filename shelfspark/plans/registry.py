@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import windows
 from shelfspark.plans import (  # noqa: F401  registers
-    catalog, check_queries, extra_queries, feature_queries, model_queries, more_queries, panel_queries, study_queries, uplift_queries, window_queries)
+    catalog, check_queries, extra_queries, feature_queries, forecast_queries, model_queries, more_queries, panel_queries, study_queries, uplift_queries, window_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

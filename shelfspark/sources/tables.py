@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -257,3 +258,19 @@ def capped(df: DataFrame, most: int) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows: narrow the filters or raise the cap")
     return df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.  A local session
+    without one uses its warehouse; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back, for a table that several results use."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
