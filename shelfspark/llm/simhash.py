@@ -18,7 +18,8 @@ bits.  Distinct fingerprints are taken once, so a group of exact copies is one r
    half).  Such a pair meets in a variant at one bit from the one and two from the
    other; all rows at one bit are of one component, so the smallest is the hub again.  The
    pairs of bits are taken in ROUNDS, and what has joined the components it met drops out.
-4. Components of the verified edges.
+4. Components of the verified edges: after each step its edges are taken between the roots of the
+   components so far, so no component is found twice.
 """
 
 from __future__ import annotations
@@ -123,11 +124,19 @@ def _linked(variants: DataFrame) -> DataFrame:
     )
 
 
-def _sized(near: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def _united(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """named (fp, root), root being the smallest of fp's component, after more edges (a, b).
+
+    The edges are taken between roots, so only what they unite is gone through again, not the
+    components found before."""
+    ends = edges.join(named.select(F.col("fp").alias("a"), F.col("root").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("root").alias("y")), "b")
+    renamed = components(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return materialise(named.join(renamed, "root", "left").select("fp", F.coalesce("least", "root").alias("root")))
+
+
+def _sized(named: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(fp, of) of the fingerprints, or of those in `only`: of is the size and root of its
-    component.  What is not linked yet is a component of its own."""
-    named = near.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named)
+    component."""
     sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     mine = named if only is None else named.join(only.select("fp"), "fp", "left_semi")
     return mine.join(sizes, "root").select("fp", F.struct("size", "root").alias("of"))
@@ -155,28 +164,37 @@ def _pairs(several: DataFrame) -> DataFrame:
     return found.select(F.inline("p")).distinct()
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct values of fp, enough to connect every pair within RADIUS bits."""
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct values of fp that may have a partner: root is the smallest value
+    that links within RADIUS bits reach.  What is not in it is alone."""
     distinct = materialise(fps.select("fp").distinct())
     w = Window.partitionBy("v")
     low, high = F.min("fp").over(w), F.max("fp").over(w)
     met = _met(distinct).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("low", low).withColumn("high", high).filter("n > 1")
     near = materialise(met.filter((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= RADIUS)).select("fp").distinct())
     ball = near.select("fp", F.explode(_flips(ONES)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), F.lit(True).alias("close"))
-    edges = materialise(_linked(ball))
-    several = materialise(_several(_sized(near, edges)))
+    named = _united(near.select("fp", F.col("fp").alias("root")), materialise(_linked(ball)))
+    several = materialise(_several(_sized(named)))
     # a pair within RADIUS bits meets in one variant at least: small groups are compared at once
-    edges = materialise(edges.union(_pairs(several.filter(F.col("n") <= FEW))).distinct())
+    named = _united(named, materialise(_pairs(several.filter(F.col("n") <= FEW))))
     open_ = materialise(several.filter(F.col("n") > FEW).select("fp").distinct())
     for pairs in ROUNDS:
         if open_.isEmpty():
             break
-        several = _several(_sized(near, edges, open_)).filter(F.col("n") > FEW)
+        several = _several(_sized(named, open_)).filter(F.col("n") > FEW)
         open_ = materialise(several.groupBy("fp").agg(F.max(F.col("of") < F.col("most")).alias("wide")))
+        if open_.isEmpty():
+            break
         masks = F.when(F.col("wide"), _flips(ONES + pairs)).otherwise(_flips(ONES))
         wide = open_.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), (F.bit_count("m") <= 1).alias("close"))
-        edges = materialise(edges.union(_linked(wide)).distinct())
-    return edges
+        named = _united(named, materialise(_linked(wide)))
+    return named
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) from each component's smallest value of fp, a, to its others: they connect what
+    is within RADIUS bits, directly or over others."""
+    return classes(fps).filter("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def _components(fps: DataFrame, id_col: str) -> DataFrame:
-    roots = components(links(fps))
+    roots = classes(fps).select(F.col("fp").alias("node"), "root")
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     named = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
