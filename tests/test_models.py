@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from shelfspark.operators import models
+from shelfspark.operators import models, uplift
 
 D0 = dt.date(2020, 1, 1)
 
@@ -31,3 +31,24 @@ def test_logistic_models_in_a_session_that_has_observed(spark, panel):
     assert found.filter("e between 0.02 and 0.98").count() == panel.count()
     crossed = models.cross_fitted(panel, F.col("flag"), "units", ["x"], ["store_id"], 2)
     assert crossed.filter("mu0 is not null and e between 0.02 and 0.98").count() == panel.count()
+
+
+def counted(spark, df):
+    """df, and an accumulator of the rows that are computed of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_models_compute_their_input_once(spark, panel):
+    n = panel.count()
+    df, seen = counted(spark, panel)
+    assert models.propensity(df, F.col("flag"), ["x"], ["store_id"]).count() == n and seen.value == n
+    df, seen = counted(spark, panel)
+    found = uplift.aipw(models.cross_fitted(df, F.col("flag"), "units", ["x"], ["store_id"], 2), F.col("flag"), "units", "mu0", "e").first()
+    assert 1 < found.att < 3 and found.clusters == 12 and seen.value == n
