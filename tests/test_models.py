@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from shelfspark.operators import models, uplift
+from shelfspark.operators import horizon, joins, models, uplift
+from shelfspark.plans import more_queries
 
 D0 = dt.date(2020, 1, 1)
 
@@ -52,3 +53,11 @@ def test_models_compute_their_input_once(spark, panel):
     df, seen = counted(spark, panel)
     found = uplift.aipw(models.cross_fitted(df, F.col("flag"), "units", ["x"], ["store_id"], 2), F.col("flag"), "units", "mu0", "e").first()
     assert 1 < found.att < 3 and found.clusters == 12 and seen.value == n
+
+
+def test_matching_of_equal_scores(spark):
+    """Controls of the same score are found from either side, and of several the one of most units."""
+    rows = [("p", 0.3, 5, True), ("p", 0.3, 1, False), ("p", 0.3, 4, False), ("p", 0.31, 9, False), ("p", 0.5, 7, True), ("p", 0.52, 2, False), ("p", 0.46, 3, False), ("q", 0.5, 1, True)]
+    df = spark.createDataFrame(rows, "product_id string, e double, units long, flag boolean")
+    found = {r.units: r.match.u for r in joins.nearest_score(df, F.col("flag"), "e", 0.05, "product_id").collect()}
+    assert found == {5: 4, 7: 2}
