@@ -167,7 +167,8 @@ def _effect_model(t):
 
 
 def _out_of_fold(t):
-    return _effect_model(t).out_of_fold(models.folds(_pseudo(t)).dropna(subset=XS))
+    rows = models.folds(_pseudo(t))
+    return effects.fit_effects(rows, XS).out_of_fold(rows.dropna(subset=XS))
 
 
 def _new_plans(t):

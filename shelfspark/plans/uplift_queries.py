@@ -76,10 +76,21 @@ CATE = f"""(SELECT product_id, sum(treated::INT) AS n_treated, CASE WHEN sum(tre
   CASE WHEN sum(treated::INT) >= 30 THEN stddev_samp(pseudo) / sqrt(count(*)) END AS error FROM {PSEUDO} GROUP BY product_id)"""
 add("c15_pseudo_outcome", lambda t: _pseudo(t).groupBy("store_id").agg(F.count(F.lit(1)).alias("n"), F.avg("pseudo").alias("mean"), F.min("pseudo").alias("least"), F.max("pseudo").alias("most")),
     f"SELECT store_id, count(*) AS n, avg(pseudo) AS mean, min(pseudo) AS least, max(pseudo) AS most FROM {PSEUDO} GROUP BY store_id", plain="store_id", whole="n", doubles="mean least most")
-add("c15_att", lambda t: uplift.att_of(_pseudo(t), uplift.segment_cate(_pseudo(t), F.col("treated"), "product_id"), F.col("treated"), "product_id"),
+
+
+def _att(t):
+    rows = _pseudo(t)
+    return uplift.att_of(rows, uplift.segment_cate(rows, F.col("treated"), "product_id"), F.col("treated"), "product_id")
+
+
+def _cate_trees(t):
+    rows = _pseudo(t).na.drop(subset=["lag_1"])
+    return models.regression(rows, rows.filter("treated"), "pseudo", ["lag_1", "selling_price", "mu0"], ["store_id"], "trees")
+
+
+add("c15_att", _att,
     f"SELECT avg(cate) AS att, count(cate) AS n FROM {PSEUDO} JOIN {CATE} USING (product_id) WHERE treated", whole="n", doubles="att")
-add("c15_cate_trees", lambda t: models.regression(_pseudo(t).na.drop(subset=["lag_1"]), _pseudo(t).na.drop(subset=["lag_1"]).filter("treated"), "pseudo", ["lag_1", "selling_price", "mu0"], ["store_id"], "trees").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("att")), None, whole="n", doubles="att")
+add("c15_cate_trees", lambda t: _cate_trees(t).agg(F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("att")), None, whole="n", doubles="att")
 add("c16_segment_cate", lambda t: uplift.segment_cate(_pseudo(t), F.col("treated"), "product_id"), f"SELECT * FROM {CATE}", plain="product_id", whole="n_treated", doubles="cate error")
 
 

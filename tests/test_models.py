@@ -61,3 +61,11 @@ def test_matching_of_equal_scores(spark):
     df = spark.createDataFrame(rows, "product_id string, e double, units long, flag boolean")
     found = {r.units: r.match.u for r in joins.nearest_score(df, F.col("flag"), "e", 0.05, "product_id").collect()}
     assert found == {5: 4, 7: 2}
+
+
+def test_pseudo_outcomes_compute_their_input_once(spark, panel):
+    rows = panel.select("date", "product_id", "store_id", "units", "flag", F.lit(10.0).alias("mu0"), F.lit(12.0).alias("mu1"), F.lit(0.3).alias("e"))
+    df, seen = counted(spark, rows)
+    out = uplift.pseudo_outcome(df, F.col("flag"), "units", "mu0", "mu1", "e")
+    assert models.regression(out, out.filter("flag"), "pseudo", ["units"], ["store_id"], "trees").count() == rows.filter("flag").count()
+    assert seen.value == rows.count()
