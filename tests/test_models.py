@@ -69,3 +69,10 @@ def test_pseudo_outcomes_compute_their_input_once(spark, panel):
     out = uplift.pseudo_outcome(df, F.col("flag"), "units", "mu0", "mu1", "e")
     assert models.regression(out, out.filter("flag"), "pseudo", ["units"], ["store_id"], "trees").count() == rows.filter("flag").count()
     assert seen.value == rows.count()
+
+
+def test_evaluation_computes_its_rows_once(spark, panel):
+    rows = panel.crossJoin(spark.range(10).select(F.col("id").cast("int").alias("k"))).withColumn("date", F.date_add("date", 40 * F.col("k"))).drop("k")
+    df, seen = counted(spark, rows.withColumns({"stockout_flag": F.lit(False), "promotion_flag": F.col("flag")}))
+    found = {r.role: r for r in models.fit_evaluate(df, ["x"], ["store_id"]).collect()}
+    assert set(found) == {"clean", "promoted"} and found["clean"].n + found["promoted"].n == 12 * 120 and seen.value == rows.count()
