@@ -76,3 +76,12 @@ def test_evaluation_computes_its_rows_once(spark, panel):
     df, seen = counted(spark, rows.withColumns({"stockout_flag": F.lit(False), "promotion_flag": F.col("flag")}))
     found = {r.role: r for r in models.fit_evaluate(df, ["x"], ["store_id"]).collect()}
     assert set(found) == {"clean", "promoted"} and found["clean"].n + found["promoted"].n == 12 * 120 and seen.value == rows.count()
+
+
+@pytest.mark.parametrize("kind", ["ridge", "trees"])
+def test_test_rows_come_from_a_panel_computed_once(spark, panel, kind):
+    class Sales:
+        sales, seen = counted(spark, panel.withColumn("units", F.floor("units").cast("bigint")).crossJoin(spark.range(9).select(F.col("id").cast("int").alias("k")))
+                              .withColumn("date", F.date_add("date", 40 * F.col("k"))).drop("k").withColumn("selling_price", F.col("x")))
+
+    assert more_queries._tested(Sales, kind).count() == 12 * 120 and Sales.seen.value == 9 * panel.count()
