@@ -85,3 +85,10 @@ def test_test_rows_come_from_a_panel_computed_once(spark, panel, kind):
                               .withColumn("date", F.date_add("date", 40 * F.col("k"))).drop("k").withColumn("selling_price", F.col("x")))
 
     assert more_queries._tested(Sales, kind).count() == 12 * 120 and Sales.seen.value == 9 * panel.count()
+
+
+def test_search_computes_its_rows_once(spark, panel):
+    rows = panel.crossJoin(spark.range(10).select(F.col("id").cast("int").alias("k"))).withColumn("date", F.date_add("date", 40 * F.col("k"))).drop("k")
+    df, seen = counted(spark, rows)
+    found = models.search(df, ["x"], ["store_id"], trials=2).collect()
+    assert [r.name for r in found] == ["default", "trial_0", "trial_1"] and sum(r.kept for r in found) == 1 and seen.value == rows.count()
