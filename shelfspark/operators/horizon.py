@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import scalar
 from shelfspark.operators import joins, metrics, windows
 from shelfspark.operators.windows import KEYS, safe
+from shelfspark.sources.tables import written
 
 HEX = "0123456789abcdef"
 BANDS, BAND, LAST = 8, 11, 90  # steps of an origin: one in each band of days, the last band up to LAST
@@ -34,7 +35,8 @@ def origins(sales: DataFrame, every: int = 7) -> DataFrame:
 
 def dataset(sales: DataFrame, every: int = 7) -> DataFrame:
     """Origins with their drawn steps and the target's units; targets that ran out of stock and
-    targets without a row are left out."""
+    targets without a row are left out.  sales is computed once, for origins and targets."""
+    sales = written(sales.select(*KEYS, "date", "units", "stockout_flag"))
     grid = origins(sales, every).withColumnRenamed("units", "origin_units").withColumn("step", F.explode(steps()))
     grid = grid.withColumns({"target_date": F.date_add("origin_date", F.col("step")), "bucket": scalar.bucket(F.col("step"))})
     target = sales.filter("not stockout_flag").select(*KEYS, F.col("date").alias("target_date"), F.col("units").alias("target_units"))
@@ -95,8 +97,8 @@ def value_added(rows: DataFrame, benchmark: DataFrame, scale: DataFrame) -> Data
 
 def widths(rows: DataFrame, alpha: float = 0.1, least: int = 100) -> DataFrame:
     """(bucket, n, width, pooled): conformal widths of the buckets; one under `least` rows takes
-    the width of all rows together."""
-    named = rows.select("bucket", F.col("target_units").alias("units"), "predicted").filter("units is not null and predicted is not null")
+    the width of all rows together.  rows are computed once."""
+    named = written(rows.select("bucket", F.col("target_units").alias("units"), "predicted").filter("units is not null and predicted is not null"))
     own = metrics.conformal(named, "bucket", alpha, least)
     pooled = metrics.conformal(named.withColumn("all", F.lit("all")), "all", alpha, 1).select(F.col("width").alias("of_all"))
     counts = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -92,3 +92,10 @@ def test_search_computes_its_rows_once(spark, panel):
     df, seen = counted(spark, rows)
     found = models.search(df, ["x"], ["store_id"], trials=2).collect()
     assert [r.name for r in found] == ["default", "trial_0", "trial_1"] and sum(r.kept for r in found) == 1 and seen.value == rows.count()
+
+
+def test_horizon_widths_compute_sales_once(spark):
+    rows = [(D0 + dt.timedelta(d), p, "s", 5 + (d * 7 + len(p)) % 11, d % 50 == 0) for p in ("a", "bb") for d in range(600)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "date date, product_id string, store_id string, units long, stockout_flag boolean"))
+    found = horizon.widths(horizon.naive(horizon.dataset(df)), least=30).collect()
+    assert found and all(r.width is not None for r in found) and seen.value == len(rows)
