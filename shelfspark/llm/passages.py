@@ -7,8 +7,8 @@ ends have MIN or more, a text of SHINGLE words or more has one at least).  Each
 signature over its five-word shingles in BANDS bands of ROWS rows; the band curve finds a pair
 of similarity 0.8 with probability 0.98 and equal paragraphs always.  Paragraphs that collide
 in a band are compared with the band's smallest and largest; where that leaves a band in
-several components, its paragraphs that share a rare shingle are compared, so no similar pair
-of a band is missed.  Exact Jaccard similarity of 0.8 or more is verified, and components of
+several components, its paragraphs meet on rare shingles, in large groups on more and more of them, so no
+similar pair of a band is missed.  Exact Jaccard similarity of 0.8 or more is verified, and components of
 the links are the classes.  All but the first place of a class are marked for removal.
 
 Exact repeats of SPAN words or more are found to their true ends besides.  The least hash of
@@ -36,6 +36,7 @@ SPAN = GRAM + ANCHORS - 1  # words: least exact repeat
 BITS = 27  # log2 of the most bits of a broadcast filter of hashes; only costs depend on it
 #: Paragraph hashes (8 bytes) that may be broadcast; more are joined.
 BROADCAST_ROWS = 2_000_000
+FEW = 32  # paragraphs that share a key up to which all pairs are compared; only costs depend on it
 REMEMBER = 1_000_000  # hashes that a task knows again
 PIECE = 1 << 20  # bytes of texts handled at once
 
@@ -299,31 +300,86 @@ def _shingles(docs: DataFrame, text: str, need: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text hashes whose shingles are similar."""
+    """The pairs (a, b and more) of text hashes whose shingles are similar."""
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.filter(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+
+
+def _keyed(ranked: DataFrame) -> DataFrame:
+    """Rows (h, root, n, low, high, o, d, at, key) of ranked (h, root, n, x): for every size that a
+    similar set may have, the pair's sizes, the o shingles that such a pair shares at least and
+    the d of x that h may lack; a key for each of the first d + 1 of x, at its place."""
+    sizes = F.sequence(F.ceil(SIMILAR * F.col("n") - 1e-9), F.floor(F.col("n") / SIMILAR + 1e-9))
+    rows = ranked.select("*", F.explode(sizes).alias("m")).withColumn("o", F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("m")) - 1e-9).cast("int"))
+    rows = rows.withColumn("d", F.size("x") - F.col("o")).filter("d >= 0")
+    rows = rows.select("*", F.posexplode(F.slice("x", 1, F.col("d") + 1)).alias("at", "s"))
+    rows = rows.withColumns({"low": F.least("n", "m"), "high": F.greatest("n", "m")})
+    return rows.select("h", "root", "n", "low", "high", "o", "d", "at", F.xxhash64("s", "low", "high").alias("key"))
+
+
+def _longer(rows: DataFrame, ranked: DataFrame, level: int) -> DataFrame:
+    """The rows, whose keys stand for `level` shingles, with keys of twice as many, or of o where
+    that is less: h has the first k shingles that a pair shares among its first d + k."""
+    rows = rows.join(ranked.select("h", "x"), "h")
+    for k in range(level, 2 * level):
+        more = F.col("o") > k
+        rows = rows.withColumn("to", F.explode(F.when(more, F.sequence(F.col("at") + 1, F.col("d") + k)).otherwise(F.array("at"))))
+        rows = rows.withColumns({"key": F.when(more, F.xxhash64("key", F.get("x", F.col("to")))).otherwise(F.col("key")), "at": F.col("to")}).drop("to")
+    return rows.drop("x")
+
+
+def _mixed_groups(rows: DataFrame, level: int) -> DataFrame:
+    """The rows whose key is one of several components and has both sizes of its pairs; with hub, the
+    smallest member, and few: whether to compare all pairs costs no more than longer keys."""
+    w = Window.partitionBy("key")
+    # keys of k of the first d + k: those of twice as many over those of `level`
+    longer = F.aggregate(F.sequence(F.lit(1), F.col("d") + 1), F.lit(1.0), lambda so_far, i: so_far * (2 * level + i - 1) / (level + i - 1)) / 2
+    met = rows.withColumns({"members": F.count(F.lit(1)).over(w), "longer": F.sum(longer).over(w), "hub": F.min(F.struct("n", "h", "root")).over(w),
+                            "most": F.max("n").over(w), "first": F.min("root").over(w), "last": F.max("root").over(w)})
+    met = met.filter("first < last and hub.n = low and most = high")
+    few = (F.col("members") <= FEW) | (F.col("members") * F.col("members") <= 2 * F.col("longer"))
+    return met.select(*rows.columns, "hub", few.alias("few"))
 
 
-def _apart(banded: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs (a, b) in bands that the edges leave in several components: all that can be similar
-    and are not connected.
+def _all_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's sizes between components, all pairs of each group compared."""
+    left = groups.filter("n = low").select("key", F.col("h").alias("a"), F.col("root").alias("root_a"))
+    right = groups.filter("n = high").select("key", F.col("h").alias("b"), F.col("root").alias("root_b"), (F.col("low") < F.col("high")).alias("unlike"))
+    return left.join(right, "key").filter("root_a <> root_b and (unlike or a < b)").select("a", "b").distinct()
 
-    Similar sets share one of the rarest shingles of each (a prefix of n - ceil(SIMILAR n) + 1
-    of n), so only texts that meet on one are paired.
+
+def _apart(banded: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """More verified edges (a, b), which connect all similar texts of the bands that the edges
+    leave in several components.
+
+    Similar sets of n and m shingles share o = ceil(SIMILAR / (1 + SIMILAR) (n + m)), so one of the rarest n - o + 1
+    of each; shingles that one set alone has count to n only.  Where texts of several components
+    meet on one, all are compared with the smallest; then in groups of FEW at most all pairs are,
+    and larger ones meet again on twice as many shingles, unless that makes more rows than all
+    pairs.  What shares o is similar to the smallest, so what a text costs is bounded by its
+    number of shingles, whatever the size of its group.
     """
     named = banded.join(components(edges).select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     open_ = named.join(split, "key").select("h", "root").distinct()
     rows = materialise(open_.join(sets, "h").select("h", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
-    w = Window.partitionBy("h").orderBy("often", "s")
-    rare = rows.join(often, "s").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1)
-    rare = materialise(rare.filter("often > 1").select("s", "h", "root", "n"))
-    left, right = rare.select("s", *(F.col(c).alias(f"{c}_a") for c in ("h", "root", "n"))), rare.select("s", *(F.col(c).alias(f"{c}_b") for c in ("h", "root", "n")))
-    near = (F.col("n_a") >= SIMILAR * F.col("n_b") - 1e-9) & (F.col("n_b") >= SIMILAR * F.col("n_a") - 1e-9)
-    pairs = left.join(right, "s").filter((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    return pairs.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    x = F.array_sort(F.collect_list(F.struct("often", "s")))["s"]
+    ranked = materialise(rows.join(often, "s").groupBy("h").agg(F.first("root").alias("root"), F.first("n").alias("n"), x.alias("x")))
+    level, met = 1, materialise(_mixed_groups(_keyed(ranked), 1))
+    found = edges.limit(0)
+    while not met.isEmpty():
+        to_hub = met.filter("root <> hub.root").select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.root").alias("root_a"), F.col("root").alias("root_b"))
+        near = materialise(_verified(to_hub.distinct(), sets))
+        renamed = components(near.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        met = met.drop("hub", "few").join(renamed, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+        met = materialise(_mixed_groups(met, level))
+        found = found.union(near.select("a", "b")).union(materialise(_verified(_all_pairs(met.filter("few")), sets)))
+        met = met.filter(~F.col("few") & (F.col("o") > level)).drop("hub", "few")
+        level *= 2
+        met = materialise(_mixed_groups(_longer(met, ranked, level // 2), level))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _banded(table: DataFrame) -> DataFrame:
@@ -344,7 +400,7 @@ def links(docs: DataFrame, table: DataFrame, text: str = "text", banded: DataFra
     need = materialise(banded.select("h").distinct())
     sets = materialise(_shingles(docs, text, need))
     edges = materialise(_verified(pairs, sets))
-    return edges.union(_verified(_apart(banded.select("key", "h"), sets, edges), sets))
+    return edges.union(_apart(banded.select("key", "h"), sets, edges))
 
 
 def _release(df: DataFrame) -> None:

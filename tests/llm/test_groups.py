@@ -216,6 +216,49 @@ def test_links_in_a_band_of_many_families(spark):
     assert len(set(roots_of([(r.a, r.b) for r in got], nodes).values())) == len(set(roots_of(similar, nodes).values()))
 
 
+@pytest.mark.parametrize("few", [2, 32])
+def test_links_in_a_large_group_of_unlike_variants(spark, monkeypatch, few):
+    """Variants of one paragraph, most of them unlike each other: all similar pairs are connected, and
+    the pairs that are compared grow with the variants, not with the square of their number."""
+    monkeypatch.setattr(passages, "FEW", few)
+    rng = random.Random(19)
+    core = [f"w{i}" for i in range(30)]
+    while len(passages.Paragraphs(" ".join(core).encode())) > 1:  # one paragraph, so that every variant is in one group
+        core = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    real, compared, seen = passages._verified, [], {}
+
+    def counted(pairs, sets):
+        pairs = common.materialise(pairs)
+        compared.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    for n in (150, 300):
+        compared.clear()
+        rows = []
+        while len(rows) < n:
+            mine = list(core[rng.choice((0, 0, 0, 1, 3)) :])
+            for at in rng.choice([(2,), (27,), (3, 26), (2, 25), (1, 9), (25,)]):
+                if at < len(mine):
+                    mine[at] = f"e{rng.randrange(10**6 if at % 2 else 6)}"
+            if len(passages.Paragraphs(" ".join(mine).encode())) == 1:
+                rows.append((len(rows), " ".join(mine), "en", "s", 0))
+        df = spark.createDataFrame(rows, DOCS)
+        table = common.materialise(passages.paragraphs(df, "doc_id", "text").withColumn("keys", F.array(F.lit(1).cast("long"))))
+        sets = {}
+        for _, text, *_ in rows:
+            p = passages.Paragraphs(text.encode())
+            sets[p.hashes()[0] - (1 << 64) if p.hashes()[0] >> 63 else p.hashes()[0]] = set(p.shingles[p.a[0] : p.b[0] - passages.SHINGLE + 1].tolist())
+        nodes = sorted(sets)
+        similar = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        got = [(r.a, r.b) for r in passages.links(df, table).collect()]
+        assert {(min(e), max(e)) for e in got} <= similar
+        want = roots_of(similar, nodes)
+        assert len(set(want.values())) > n / 10 and len(set(roots_of(got, nodes).values())) == len(set(want.values()))
+        seen[n] = sum(compared)
+    assert seen[300] < 12 * 300 and seen[300] < 3 * seen[150], seen
+
+
 def test_every_exact_passage_to_its_ends(spark):
     rng = random.Random(8)
 
